@@ -1,0 +1 @@
+"""Deliberately empty: every input is a finished export, so there is no stream to process."""
