@@ -1,10 +1,12 @@
-"""Exact positions and quartiles that never gather an unbounded group in one task."""
+"""Exact positions within groups that never gather an unbounded group in one task."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.scratch import staged
+
 HOT_GROUP_ROWS = 1_000_000
 COPIES_PER_TASK = 1_000_000
 
@@ -34,16 +36,20 @@ def number_within(
     The order covers every column, so only exact copies tie and the set of results depends on the
     data alone. ``spread`` is an integer computed from the row; it cuts a group of more than
     ``hot_rows`` rows into cells that are numbered apart and shifted by the size of the cells before.
-    Exact copies inside such a group travel as one row with a count until the very end.
+    Exact copies inside such a group travel as one row with a count until the very end. Group sizes are
+    counted when this is called.
     """
     columns = df.columns
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    # At most total rows / hot_rows keys can be hot, which is what makes the broadcast safe.
-    hot = F.broadcast(_renamed_keys(sized.filter(F.col("_rows") > hot_rows), keys, "_hot_"))
-    is_hot = same_key(df, hot, keys, "_hot_")
-
+    hot = _renamed_keys(sized.filter(F.col("_rows") > hot_rows), keys, "_hot_")
+    # Written out, so that the planner knows how few they are and broadcasts them only then.
+    hot = staged(hot, "hot-keys")
     in_order = Window.partitionBy(*keys).orderBy(spread, *columns)
-    plain = df.join(hot, is_hot, "left_anti").withColumn(name, F.row_number().over(in_order).cast("long"))
+    position = F.row_number().over(in_order).cast("long")
+    if hot.isEmpty():
+        return df.withColumn(name, position)
+    is_hot = same_key(df, hot, keys, "_hot_")
+    plain = df.join(hot, is_hot, "left_anti").withColumn(name, position)
     split = _number_hot(df.join(hot, is_hot, "left_semi"), keys, spread, name, copies_per_task)
     return plain.unionByName(split)
 
@@ -68,9 +74,8 @@ def _number_hot(
 
     # One packed row may stand for billions: deal out its copies in bounded blocks over all tasks.
     last_block = F.floor((F.col("_copies") - 1) / F.lit(copies_per_task)).cast("long")
-    blocks = placed.select(
-        *columns, first.alias("_first"), "_copies", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_block")
-    ).repartition("_first", "_block")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_block")
+    blocks = placed.select(*columns, first.alias("_first"), "_copies", block).repartition("_first", "_block")
     start = F.col("_block") * copies_per_task
     stop = F.least(start + copies_per_task, F.col("_copies")) - 1
     return blocks.select(*columns, "_first", F.explode(F.sequence(start, stop)).alias("_copy")).select(

@@ -102,6 +102,8 @@ def review_copies(reviews: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFra
     """
     pairs = reviews.groupBy(*REVIEW_KEYS).count().filter(F.col("count") > 1)
     repeated = staged(pairs.select(*[F.col(k).alias("_dup_" + k) for k in REVIEW_KEYS]), "repeated-pairs")
+    if repeated.isEmpty():
+        return reviews.withColumn("copy", F.lit(1).cast("long"))
     matches = same_key(reviews, repeated, REVIEW_KEYS, "_dup_")
     single = reviews.join(repeated, matches, "left_anti").withColumn("copy", F.lit(1).cast("long"))
     spread = F.pmod(F.xxhash64(*reviews.columns), F.lit(REVIEW_SPREAD))

@@ -4,7 +4,7 @@ Stand-ins for the nine input files: same columns and types, same quirks (one che
 untranslated and missing categories, orders without payments, review ids shared by two orders).
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,11 +179,22 @@ def raw_table(spark: SparkSession, folder: str, table: str, **options) -> DataFr
     return shaped(BUILDERS[table](spark, folder, **options), raw_schema(table))
 
 
-def raw_tables(spark: SparkSession, folder: str, numbered: bool = True) -> dict[str, DataFrame]:
-    """All nine tables. Nothing is read until a job asks for it."""
-    return {
-        table: raw_table(
-            spark, folder, table, **({"numbered": numbered} if table == "order_items" else {})
-        )
-        for table in RAW_DDL
-    }
+class RawTables(Mapping[str, DataFrame]):
+    """All nine tables; each is put together, and its inputs are looked at, when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, numbered: bool = True):
+        self._spark, self._folder = spark, folder
+        self._options = {"order_items": {"numbered": numbered}}
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._built:
+            options = self._options.get(table, {})
+            self._built[table] = raw_table(self._spark, self._folder, table, **options)
+        return self._built[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(RAW_DDL)
+
+    def __len__(self) -> int:
+        return len(RAW_DDL)

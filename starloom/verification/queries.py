@@ -11,7 +11,7 @@ from starloom.functions.fixed_values import CANCELED
 from starloom.plans import analyses, layout, quality, star_build
 from starloom.plans.publish import load_raw, publish, read_raw, read_star
 from starloom.scratch import scratch_path
-from starloom.sources.conform import raw_table, raw_tables
+from starloom.sources.conform import RawTables, raw_table
 from starloom.sources.csv_files import read_raw_csv
 from starloom.sources.schemas import RAW_DDL
 
@@ -36,8 +36,11 @@ class Tables:
     """Raw and star tables over one folder, each put together when it is first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str, numbered: bool = False):
-        self.raw = raw_tables(spark, folder, numbered)
-        self._orders = star_build.resolve_orders(self.raw["orders"], self.raw["customers"])
+        self.raw = RawTables(spark, folder, numbered)
+
+    @property
+    def _orders(self) -> DataFrame:
+        return star_build.resolve_orders(self.raw["orders"], self.raw["customers"])
 
     @property
     def dim_customers(self) -> DataFrame:
@@ -92,7 +95,7 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def raw_reload(spark: SparkSession, folder: str) -> DataFrame:
     """Load all nine CSV inputs twice into the raw layer; the second load replaces the first."""
-    paths = {t: _as_csv(df, t) for t, df in raw_tables(spark, folder).items()}
+    paths = {t: _as_csv(df, t) for t, df in RawTables(spark, folder).items()}
     root = scratch_path(spark, "raw-layer")
     load_raw(spark, paths, root)
     load_raw(spark, paths, root)
@@ -102,7 +105,7 @@ def raw_reload(spark: SparkSession, folder: str) -> DataFrame:
 def published_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the six tables as a reader of the published star finds them."""
     root = scratch_path(spark, "star")
-    publish(spark, raw_tables(spark, folder), root)
+    publish(spark, RawTables(spark, folder), root)
     return _counts(read_star(spark, root))
 
 

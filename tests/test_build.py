@@ -1,0 +1,257 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.plans import analyses, quality, star_build
+from starloom.plans.publish import KeyViolation, publish, read_report, read_star, register_views
+from starloom.scratch import scratch_path
+from starloom.sources import store
+from starloom.sources.schemas import RAW_DDL, STAR_DDL, raw_schema, star_schema
+from tests.conftest import rows
+
+D = Decimal
+T = dt.datetime
+
+
+def order(key, customer, status="delivered", bought=T(2018, 1, 1, 6), delivered=None, promised=T(2018, 1, 10)):
+    return (key, customer, status, bought, None, None, delivered, promised)
+
+
+def item(order_id, number, product="p1", seller="s1", price="10.00", freight="1.50"):
+    return (order_id, number, product, seller, None, D(price), D(freight))
+
+
+def review(key, order_id, score=5, message=None):
+    return (key, order_id, score, None, message, None, None)
+
+
+RAW = {
+    "customers": [
+        ("c1", "ann", "01151", "north", "SP"),
+        ("c2", "ann", "01152", "south", "RJ"),
+        ("c3", "bob", "09790", "east", "AL"),
+        ("c4", "bob", "09790", "east", "AL"),
+    ],
+    "geolocation": [("01151", D("1.5"), D("-2.25"), "north", "SP")],
+    "sellers": [("s1", "11111", "x", "SP"), ("s2", "22222", "y", "RJ")],
+    "products": [
+        ("p1", "bebes", 3, 30, 1, 100, 10, 11, 12),
+        ("p2", "pcs", None, None, None, None, None, None, None),
+        ("p3", None, 1, 1, 1, 1, 1, 1, 1),
+    ],
+    "orders": [
+        order("o1", "c1", delivered=T(2018, 1, 10, 23, 59, 59)),
+        order("o2", "c2", delivered=T(2018, 1, 11), bought=T(2018, 8, 31, 23)),
+        order("o3", "c3", "canceled"),
+        order("o4", "c4", None),
+    ],
+    "order_items": [item("o1", 1), item("o1", 2, "p2"), item("o2", 1, "p3", "s2"), item("o3", 1), item("o4", 1)],
+    "order_payments": [
+        ("o1", 1, "card", 3, D("20.00")),
+        ("o1", 2, "voucher", 1, D("3.00")),
+        ("o2", 1, "card", 1, D("11.50")),
+    ],
+    "order_reviews": [review("r1", "o1"), review("r1", "o2", 1), review("r2", "o4", 3)],
+    "product_category_translation": [("bebes", "baby")],
+}
+
+
+@pytest.fixture
+def raw(spark):
+    """The small raw layer, with rows added per table on request."""
+
+    def build(**more):
+        return {
+            t: spark.createDataFrame(RAW[t] + more.get(t, []), raw_schema(t)).repartition(2) for t in RAW_DDL
+        }
+
+    return build
+
+
+def test_star_schemas(raw):
+    for name, df in star_build.build_star(raw()).items():
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in star_schema(name)]
+
+
+def test_dimensions(raw):
+    star = star_build.build_star(raw())
+    assert rows(star["dim_customers"]) == [("ann", "01151", "north", "SP"), ("bob", "09790", "east", "AL")]
+    assert rows(star["dim_products"].select("product_id", "product_category_name_english", "product_name_length")) == [
+        ("p1", "baby", 3),
+        ("p2", None, None),
+        ("p3", None, 1),
+    ]
+    assert star["dim_sellers"].count() == 2
+
+
+def test_fact_orders(raw):
+    facts = star_build.build_star(raw(orders=[order("o9", "nobody")]))["fact_orders"]
+    picked = facts.select(
+        "order_id", "customer_unique_id", "purchase_month", "delivery_days", "late_delivery_days",
+        "is_delivered_late", "payment_total", "payment_count", "max_payment_installments",
+    )
+    jan = dt.date(2018, 1, 1)
+    assert rows(picked) == [
+        ("o1", "ann", jan, D("9.75"), 0, False, D("23.00"), 2, 3),
+        ("o2", "ann", dt.date(2018, 8, 1), D("-232.96"), 1, True, D("11.50"), 1, 1),
+        ("o3", "bob", jan, None, None, None, None, None, None),
+        ("o4", "bob", jan, None, None, None, None, None, None),
+        ("o9", None, jan, None, None, None, None, None, None),
+    ]
+
+
+def test_items_without_order_are_dropped_and_reported(raw):
+    tables = raw(order_items=[item("gone", 1), item("o1", 3, product="gone")], order_reviews=[review("r9", "gone")])
+    star = star_build.build_star(tables)
+    assert "gone" not in [r["order_id"] for r in star["fact_order_items"].collect()]
+    assert star["fact_reviews"].count() == 3
+    report = {r["metric"]: (r["value"], r["ok"]) for r in quality.quality_report(tables, star).collect()}
+    assert report["items"] == (6, False) and report["reviews"] == (3, False)
+    assert report["raw_items_no_order"] == (1, False) and report["raw_reviews_no_order"] == (1, False)
+    assert report["items_no_product"] == (1, False) and report["items_no_seller"] == (0, True)
+    assert report["reviews_no_order"] == (0, True)
+    assert report["item_diff"] == (D("11.50"), False) and report["payment_diff"] == (0, True)
+    assert report["orders"] == (4, True) and report["people"] == (2, True)
+
+
+def test_items_from_written_orders_equal_items_from_resolved_orders(raw):
+    tables = raw()
+    star = star_build.build_star(tables)
+    assert rows(star_build.fact_order_items(tables["order_items"], star["fact_orders"])) == rows(star["fact_order_items"])
+    assert rows(star_build.fact_reviews(tables["order_reviews"], star["fact_orders"])) == rows(star["fact_reviews"])
+
+
+def test_review_keys_are_unique_and_stable(raw):
+    twice = [review("r1", "o1"), review("r1", "o1"), review("r1", "o1", 2, "other"), review(None, "o1")]
+    tables = raw(order_reviews=twice)
+    facts = star_build.build_star(tables)["fact_reviews"]
+    assert facts.count() == 7 and facts.select("review_sk").distinct().count() == 7
+    again = star_build.fact_reviews(
+        tables["order_reviews"].repartition(7), star_build.resolve_orders(tables["orders"], tables["customers"]), hot_rows=1
+    )
+    assert rows(again) == rows(facts)
+
+
+def test_pair_check_counts_pairs_with_null(raw):
+    tables = raw(order_reviews=[review(None, "o1"), review(None, "o1"), review("r7", None)])
+    (check,) = quality.review_pairs_unique(tables["order_reviews"]).collect()
+    assert (check["value"], check["expected"], check["ok"]) == (5, 6, False)
+
+
+def test_midnight_and_zip_checks(raw):
+    tables = raw(
+        orders=[order("o9", "c1", promised=T(2018, 1, 1, 0, 0, 1)), order("o8", "c1", promised=None)],
+        customers=[("c9", "eve", "123", "x", "y"), ("c10", "joe", None, "x", "y")],
+    )
+    assert quality.estimates_at_midnight(tables["orders"]).head()["value"] == 1
+    assert quality.zip_prefixes(star_build.dim_customers(tables["customers"])).head()["value"] == 1
+
+
+def test_reports(raw):
+    tables = raw(orders=[order("o9", "c1", bought=T(2018, 9, 1)), order("o8", "c1", bought=None)])
+    star = star_build.build_star(tables)
+    assert rows(quality.untranslated_categories(star["dim_products"])) == [("pcs", 1)]
+    assert rows(quality.orders_outside_window(star["fact_orders"])) == [(dt.date(2018, 9, 1), 1)]
+    assert rows(quality.cost_of_one_address(tables["customers"])) == [(2, 1)]
+
+
+def test_analyses(raw):
+    star = star_build.build_star(raw())
+    jan, aug = dt.date(2018, 1, 1), dt.date(2018, 8, 1)
+    revenue = analyses.monthly_revenue(star["fact_order_items"], star["fact_orders"])
+    # The August purchase at 23:00 on the 31st is inside; cancelled and status-less orders do not earn.
+    assert rows(revenue) == [(jan, D("23.00"), None, D("23.00")), (aug, D("11.50"), D("-50.00"), D("17.25"))]
+    assert rows(analyses.retention(star["fact_orders"]), "month_number") == [
+        (jan, 2, 0, 2, D("100.00")),
+        (jan, 2, 7, 1, D("50.00")),
+    ]
+    sellers = analyses.top_sellers(star["fact_order_items"], star["dim_products"], star["fact_orders"])
+    assert rows(sellers) == [
+        ("baby", "s1", D("11.50"), 1),
+        ("pcs", "s1", D("11.50"), 1),
+        ("unknown", "s2", D("11.50"), 1),
+    ]
+    assert rows(analyses.late_rate(star["fact_orders"], star["dim_customers"])) == [("SP", D("50.00"))]
+    assert rows(analyses.review_delay(star["fact_reviews"])) == [
+        ("2_on_estimated_day", 1, D("5.00")),
+        ("3_late_1to5d", 1, D("1.00")),
+    ]
+    assert rows(analyses.orders_with_status(star["fact_orders"])) == [("o3", "bob", None)]
+
+
+def test_rfm_counts_missing_payments_as_zero(raw):
+    tables = raw(orders=[order("o9", "c3", "shipped", T(2018, 9, 2)), order("o8", "nobody", "shipped", T(2018, 9, 1))])
+    got = analyses.rfm(star_build.build_star(tables)["fact_orders"])
+    # The nameless person sorts last among equals, so the buckets hold one person each from the low end.
+    assert [tuple(r) for r in got.orderBy("customer_unique_id").collect()] == [
+        (None, 2, 1, D("0.00"), 2, 2, 2),
+        ("ann", 3, 2, D("34.50"), 1, 3, 3),
+        ("bob", 1, 1, D("0.00"), 3, 1, 1),
+    ]
+
+
+def test_undelivered_orders_stay_in_the_late_denominator(raw):
+    tables = raw(orders=[order("o9", "c1", delivered=None), order("o8", "c1", delivered=T(2018, 2, 1))])
+    star = star_build.build_star(tables)
+    assert rows(analyses.late_rate(star["fact_orders"], star["dim_customers"])) == [("SP", D("50.00"))]
+
+
+def test_damaged_month_copy_stops_the_revenue_query(raw):
+    star = star_build.build_star(raw())
+    shifted = F.when(F.col("order_item_id") == 2, F.lit("2018-02-01").cast("date")).otherwise(F.col("purchase_month"))
+    damaged = star["fact_order_items"].withColumn("purchase_month", shifted)
+    with pytest.raises(Exception, match="different purchase months"):
+        analyses.monthly_revenue(damaged, star["fact_orders"]).collect()
+
+
+# publish
+
+
+def test_publish_is_versioned_and_idempotent(spark, raw):
+    root = scratch_path(spark, "star")
+    with pytest.raises(LookupError):
+        read_star(spark, root)
+    assert publish(spark, raw(), root) == 1
+    first = read_star(spark, root)
+    assert set(first) == set(STAR_DDL)
+    assert publish(spark, raw(), root) == 2
+    second = read_star(spark, root)
+    for table in STAR_DDL:
+        assert second[table].schema == first[table].schema
+        assert rows(second[table]) == rows(first[table]) == rows(read_star(spark, root, version=1)[table])
+    assert all(r["ok"] for r in read_report(spark, root).collect())
+    register_views(second)
+    assert spark.sql("SELECT count(*) FROM fact_orders WHERE order_status IS NULL").head()[0] == 1
+
+
+@pytest.mark.parametrize(
+    "more, named",
+    [
+        ({"orders": [order("o1", "c1")]}, "fact_orders_repeated=1"),
+        ({"order_items": [item("o1", 1)]}, "fact_order_items_repeated=1"),
+        ({"order_items": [item("o1", None)]}, "fact_order_items_null=1"),
+        ({"customers": [("c7", None, "00000", "x", "y")]}, "dim_customers_null=1"),
+        ({"product_category_translation": [("bebes", "infant")]}, "dim_products_repeated=1"),
+    ],
+)
+def test_key_violation_leaves_the_published_version(spark, raw, more, named):
+    root = scratch_path(spark, "star")
+    publish(spark, raw(), root)
+    with pytest.raises(KeyViolation, match=named):
+        publish(spark, raw(**more), root)
+    assert store.current_run(spark, root)[0] == 1
+    assert read_star(spark, root)["fact_orders"].count() == 4
+
+
+def test_empty_status_is_refused_rather_than_lost(spark, raw):
+    with pytest.raises(Exception, match="empty order_status"):
+        publish(spark, raw(orders=[order("o9", "c1", "")]), scratch_path(spark, "star"))
+
+
+def test_status_folders_prune(spark, raw):
+    root = scratch_path(spark, "star")
+    publish(spark, raw(), root)
+    plan = analyses.orders_with_status(read_star(spark, root)["fact_orders"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(order_status" in plan
