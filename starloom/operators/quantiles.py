@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -146,15 +146,20 @@ def _boundary_rows(
     """The searched rows, each picked from an interval whose row count is known to be small."""
     if not searches:
         return {}
-    picks = [
-        table.filter(keys[s.name].between(s.low, s.high))
-        .orderBy(keys[s.name].of_row())
-        .offset(s.target - s.below - 1)
-        .limit(1)
-        .select(F.lit(i).alias("search"), keys[s.name].as_text().alias("boundary"))
-        for i, s in enumerate(searches)
-    ]
+    shared: dict[tuple, list[int]] = {}
+    for s in searches:
+        shared.setdefault((s.name, s.low, s.high, s.below), []).append(s.target - s.below)
+    picks = []
+    for (name, low, high, below), positions in shared.items():
+        key = keys[name]
+        position = F.row_number().over(Window.orderBy(key.of_row()))
+        picks.append(
+            table.filter(key.between(low, high))
+            .select(key.as_text().alias("boundary"), position.alias("position"))
+            .filter(F.col("position").isin(*positions))
+            .select(F.lit(name).alias("name"), (F.col("position") + below).alias("target"), "boundary")
+        )
     found: dict[str, list[tuple]] = {}
     for row in reduce(DataFrame.unionAll, picks).collect():
-        found.setdefault(searches[row.search].name, []).append(tuple(row.boundary))
+        found.setdefault(row["name"], []).append(tuple(row["boundary"]))
     return found

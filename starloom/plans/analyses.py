@@ -75,7 +75,7 @@ def top_sellers(
     best = top_k_per_group(totals, "category", "seller_id", "total_sold", k)
     return best.select(
         "category", "seller_id", F.round("total_sold", 2).alias("total_sold"), F.col("rank").alias("the_rank")
-    ).orderBy("category", "the_rank")
+    ).orderBy("category", "the_rank", "seller_id")
 
 
 def late_rate(fact_orders: DataFrame, dim_customers: DataFrame, label: str = "customer_state") -> DataFrame:
@@ -121,6 +121,8 @@ def rfm(
         sample_rows,
         finish_rows,
     )
+    # The sort below ends with the tiebreak too: people who paid nothing may be many, and ranges of equal
+    # amounts can only be cut by something that differs.
     snapshot = scored.agg(F.date_add(F.max("last_order"), 1)).scalar()
     return scored.select(
         user,
@@ -130,7 +132,7 @@ def rfm(
         "r_score",
         "f_score",
         "m_score",
-    ).orderBy(F.col("total_payment").desc_nulls_first())
+    ).orderBy(F.col("total_payment").desc_nulls_first(), *tiebreak)
 
 
 def review_delay(fact_reviews: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used before."""
-    return f"{scratch_root(spark)}/starloom/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used before; all paths of an application share a folder, to be removed after it."""
+    application = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/starloom/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,8 @@ def local_session(cores: str | int = "*", name: str = "starloom") -> SparkSessio
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Without it every column expression records the Python stack it was written on.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="starloom-"))
         .getOrCreate()
     )

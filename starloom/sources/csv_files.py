@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
-from starloom.operators.numbering import same_key
 from starloom.scratch import staged
 from starloom.sources.schemas import RAW_DDL, raw_schema
 
@@ -97,8 +96,7 @@ def _records(lines: DataFrame) -> DataFrame:
     blocks = blocks.withColumn(
         "_last_start", F.when(F.col("_last_start.at").isNotNull(), F.col("_last_start"))
     ).select(
-        F.col("file").alias("_of_file"),
-        F.col("block").alias("_of_block"),
+        *BLOCK,
         "_opened",
         F.last("_last_start", ignorenulls=True).over(earlier).alias("_carried"),
         F.first("_first").over(in_file).alias("_header"),
@@ -111,7 +109,7 @@ def _records(lines: DataFrame) -> DataFrame:
     starts = (F.col("_odds") + F.col("_opened")) % 2 == 0
     up_to_here = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counted.join(blocks, same_key(counted, blocks, BLOCK, "_of_"))
+        counted.join(blocks, list(BLOCK))
         .withColumn("_starts", starts)
         .withColumn(
             "_start",

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Amounts of this precision are plain 64-bit integers to Parquet and Spark; a larger one fails its cast.
 MONEY = "decimal(18,2)"
 DEGREES = "decimal(38,18)"
 
@@ -51,19 +52,19 @@ STAR_DDL = {
         product_weight_g int, product_length_cm int, product_height_cm int, product_width_cm int""",
     "dim_sellers": """
         seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string""",
-    "fact_orders": """
+    "fact_orders": f"""
         order_id string, customer_id string, customer_unique_id string, order_status string,
         order_purchase_timestamp timestamp_ntz, purchase_date date, purchase_month date,
         order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz,
         order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz,
         delivery_days decimal(12,2), estimated_delivery_days decimal(12,2), late_delivery_days int,
-        is_delivered_late boolean, payment_total decimal(28,2), payment_count int,
+        is_delivered_late boolean, payment_total {MONEY}, payment_count int,
         max_payment_installments int""",
     "fact_order_items": f"""
         order_id string, order_item_id int, product_id string, seller_id string,
         customer_unique_id string, order_purchase_timestamp timestamp_ntz, purchase_date date,
         purchase_month date, shipping_limit_date timestamp_ntz, price {MONEY},
-        freight_value {MONEY}, item_total_value decimal(19,2)""",
+        freight_value {MONEY}, item_total_value {MONEY}""",
     "fact_reviews": """
         review_sk string, review_id string, order_id string, customer_unique_id string,
         review_score int, review_comment_title string, review_comment_message string,
