@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.plans import star_build
-from starloom.plans.quality import primary_keys, quality_report
+from starloom.plans.quality import informative_checks, primary_keys
 from starloom.sources import store
 from starloom.sources.csv_files import read_raw_csv
 from starloom.sources.schemas import RAW_DDL, STAR_DDL, raw_schema, star_schema
 
+REPORT = "quality_report"
 # Folders by the column selective reads filter on; every value stays a large enough slice of the table.
 PARTITIONS = {"fact_orders": ("order_status",), "fact_order_items": ("purchase_month",)}
 
@@ -33,18 +34,19 @@ def read_raw(spark: SparkSession, root: str, version: int | None = None) -> dict
 
 
 def publish(spark: SparkSession, raw: Mapping[str, DataFrame], root: str) -> int:
-    """Build, write, check the keys, then switch. Returns the new version.
+    """Build, write, check, then switch. Returns the new version.
 
-    The report of all other checks is kept beside the tables (``read_report``); like any reader's own
-    checks it informs, it does not block.
+    Only a broken key stops the switch. The report of all checks is kept beside the tables
+    (``read_report``); the other checks inform.
     """
     run = store.new_run(root)
     _write_star(spark, raw, run)
     star = _star_at(spark, run)
-    broken = primary_keys(star).filter(~F.col("ok")).collect()
+    primary_keys(star).write.parquet(f"{run}/{REPORT}")
+    broken = spark.read.parquet(f"{run}/{REPORT}").filter(~F.col("ok")).collect()
     if broken:
         raise KeyViolation(", ".join(f"{row['metric']}={row['value']:f}" for row in broken))
-    quality_report(raw, star).write.parquet(f"{run}/quality_report")
+    informative_checks(raw, star).write.mode("append").parquet(f"{run}/{REPORT}")
     return store.announce(spark, root, run)
 
 
@@ -74,7 +76,7 @@ def read_star(spark: SparkSession, root: str, version: int | None = None) -> dic
 
 def read_report(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     _, run = store.current_run(spark, root, version)
-    return spark.read.parquet(f"{run}/quality_report")
+    return spark.read.parquet(f"{run}/{REPORT}")
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:

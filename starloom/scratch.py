@@ -4,6 +4,7 @@ A written table survives the loss of executors, is read back with true size stat
 planner, not a hint, decides whether it is small enough to broadcast) and never gets recomputed.
 """
 
+import functools
 import tempfile
 import uuid
 
@@ -18,9 +19,13 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="starloom-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    """Only for a session whose executors all live on this machine."""
+    return tempfile.mkdtemp(prefix="starloom-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -58,7 +58,7 @@ RAW = {
 }
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def raw(spark):
     """The small raw layer, with rows added per table on request."""
 
@@ -70,6 +70,13 @@ def raw(spark):
     return build
 
 
+@pytest.fixture(scope="module")
+def published(spark, raw):
+    root = scratch_path(spark, "star")
+    assert publish(spark, raw(), root) == 1
+    return root
+
+
 def test_star_schemas(raw):
     for name, df in star_build.build_star(raw()).items():
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in star_schema(name)]
@@ -210,9 +217,9 @@ def test_damaged_month_copy_stops_the_revenue_query(raw):
 
 
 def test_publish_is_versioned_and_idempotent(spark, raw):
-    root = scratch_path(spark, "star")
     with pytest.raises(LookupError):
-        read_star(spark, root)
+        read_star(spark, scratch_path(spark, "nothing"))
+    root = scratch_path(spark, "star")
     assert publish(spark, raw(), root) == 1
     first = read_star(spark, root)
     assert set(first) == set(STAR_DDL)
@@ -236,9 +243,8 @@ def test_publish_is_versioned_and_idempotent(spark, raw):
         ({"product_category_translation": [("bebes", "infant")]}, "dim_products_repeated=1"),
     ],
 )
-def test_key_violation_leaves_the_published_version(spark, raw, more, named):
-    root = scratch_path(spark, "star")
-    publish(spark, raw(), root)
+def test_key_violation_leaves_the_published_version(spark, raw, published, more, named):
+    root = published
     with pytest.raises(KeyViolation, match=named):
         publish(spark, raw(**more), root)
     assert store.current_run(spark, root)[0] == 1
@@ -250,8 +256,6 @@ def test_empty_status_is_refused_rather_than_lost(spark, raw):
         publish(spark, raw(orders=[order("o9", "c1", "")]), scratch_path(spark, "star"))
 
 
-def test_status_folders_prune(spark, raw):
-    root = scratch_path(spark, "star")
-    publish(spark, raw(), root)
-    plan = analyses.orders_with_status(read_star(spark, root)["fact_orders"])._jdf.queryExecution().toString()
+def test_status_folders_prune(spark, published):
+    plan = analyses.orders_with_status(read_star(spark, published)["fact_orders"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(order_status" in plan
