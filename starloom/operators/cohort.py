@@ -38,8 +38,10 @@ def cohort_retention(df: DataFrame, user: str, month: str) -> DataFrame:
     )
     # Everyone is active in month 0 of their own cohort, so that row holds the cohort size.
     size = F.max(F.when(F.col("month_number") == 0, F.col("_all"))).over(Window.partitionBy("cohort_month"))
+    # At most one row per pair of calendar months is left: one partition serves the window and the sort.
     return (
-        counted.withColumn("cohort_size", size)
+        counted.repartition(1)
+        .withColumn("cohort_size", size)
         .filter(F.col("retained") > 0)
         .select(
             "cohort_month",

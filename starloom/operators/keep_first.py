@@ -13,10 +13,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> D
     holding a large share of the table costs no more than any other. The remaining columns settle
     what the tiebreak leaves open, so the pick never depends on row order.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(
-        *[part for c in tiebreak for part in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c).alias(f"_by_{c}"))],
-        *rest,
-    )
-    first = df.groupBy(*keys).agg(F.min(ranked).alias("_first"))
+    rest = [c for c in df.columns if c not in keys and c not in tiebreak]
+    nulls_last = [part for c in tiebreak for part in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*nulls_last, *rest)).alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])

@@ -36,9 +36,11 @@ def banded_average(
     band = F.when(condition, name)
     for condition, name in others:
         band = band.when(condition, name)
+    # Each task sends one row per band, so a single one can merge and sort them.
     return (
         df.groupBy(band.otherwise(last_band).alias("band"))
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("_total"), F.count(value).alias("_valued"))
         .select("band", "rows", rounded_mean(F.col("_total"), F.col("_valued")).alias("avg_value"))
+        .coalesce(1)
         .orderBy("band")
     )
