@@ -2,11 +2,13 @@
 
 Dialect: header line (its content is ignored), comma, UTF-8, ``"`` both quotes and escapes. An unquoted
 empty field is NULL, a quoted one the empty string. Quoted line breaks are data. A record with too few
-or too many fields, or with a field that is not of its column's type, stops the load; so does a decimal
-with more places than its column keeps, which Spark would otherwise round in silence.
+or too many fields (a blank line is one), or with a field that is not of its column's type, stops the
+load; so do bytes that are not UTF-8 and a decimal with more places than its column keeps, which Spark
+would replace and round in silence.
 
-Files stay splittable. Line breaks inside quotes are looked for first: without any, Spark's own reader
-takes the files in splits; otherwise the records are put together from lines, again in splits.
+Files stay splittable. One pass over the lines looks for what is wrong and for line breaks inside quotes:
+without any, Spark's own reader takes the files in splits; otherwise the records are put together from
+lines, again in splits.
 """
 
 from collections.abc import Mapping
@@ -42,7 +44,7 @@ def read_csv(spark: SparkSession, schema: StructType, path: str | list[str]) ->
         [StructField(f.name, StringType() if isinstance(f.dataType, DecimalType) else f.dataType) for f in schema]
     )
     lines = _lines(spark, path)
-    if _has_broken_records(lines):
+    if _records_span_lines(lines):
         parsed = _parsed(_records(staged(lines, "csv-lines")), textual)
     else:
         parsed = spark.read.schema(textual).options(header=True, **DIALECT).csv(path)
@@ -62,10 +64,21 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _has_broken_records(lines: DataFrame) -> bool:
-    stray_return = F.rtrim(F.col("value"), F.lit("\r")).contains("\r")
-    found = lines.agg(F.max((F.col("odd") == 1) | stray_return).alias("found")).head()
-    return bool(found["found"])
+def _records_span_lines(lines: DataFrame) -> bool:
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    found = lines.agg(
+        F.max((F.col("odd") == 1) | line.contains("\r")).alias("spanning"),
+        F.max(line == "").alias("blank"),
+        F.max(line.contains(EMPTY)).alias("reserved"),
+        F.max(~F.is_valid_utf8("value")).alias("invalid"),
+    ).head()
+    if found["invalid"]:
+        raise ValueError("input is not UTF-8")
+    if found["reserved"]:
+        raise ValueError(f"input contains {EMPTY!r}, which stands for empty strings while loading")
+    if found["blank"] and not found["spanning"]:
+        raise ValueError("input contains a blank line")
+    return bool(found["spanning"])
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -123,7 +136,9 @@ def _records(lines: DataFrame) -> DataFrame:
     )
     joined = pieces.select(F.array_join(F.col("_pieces.value"), "\n").alias("record"))
     records = placed.filter(whole).select(F.col("value").alias("record")).unionByName(joined)
-    return records.select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
+    record = F.regexp_replace("record", "\r$", "")
+    blank = F.raise_error(F.lit("input contains a blank line"))
+    return records.select(F.when(record == "", blank).otherwise(record).alias("record"))
 
 
 def _parsed(records: DataFrame, schema: StructType) -> DataFrame:

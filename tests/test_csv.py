@@ -58,13 +58,19 @@ def test_line_break_in_the_header(read):
 
 @pytest.mark.parametrize(
     "bad",
-    ["a,b\n", "a,b,,1,5\n", "a,b,yesterday,1\n", "a,b,,one\n", 'a,b,,""\n', "a,b,,3.125\n", "a,b,,3e1\n", 'a,"b\n",\n', 'a,"b,,1\n'],
+    ["a,b\n", "a,b,,1,5\n", "a,b,yesterday,1\n", "a,b,,one\n", 'a,b,,""\n', "a,b,,3.125\n", "a,b,,3e1\n", 'a,"b\n",\n', 'a,"b,,1\n', "\nc,d,,1\n", 'a,"\n",,\n\n', "a,\x01,,1\n"],
 )
 def test_bad_records_stop_the_load(read, bad):
     with pytest.raises(Exception):
         read(HEAD + "ok,ok,,1\n" + bad)
 
 
+def test_other_encodings_stop_the_load(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes(HEAD.encode() + "a,são,,1\n".encode("latin-1"))
+    with pytest.raises(ValueError, match="UTF-8"):
+        read_csv(spark, StructType.fromDDL(KINDS), str(tmp_path / "latin.csv"))
+
+
 def test_records_across_many_splits(spark, read):
     rnd = random.Random(3)
     parts = ["a", '"', "\n", ",", "xyz ", "\r\n"]
