@@ -166,6 +166,8 @@ def _table(view: str, replaced: dict[str, str] | None = None) -> str:
 
 
 DATES = {"purchase_date": "VARCHAR", "purchase_month": "VARCHAR"}
+LATE = {"is_delivered_late": "VARCHAR"}
+ROLLUP = {"payment_total": "DOUBLE", "payment_count": "DOUBLE", "max_payment_installments": "DOUBLE"}
 PRICES = {"price": "DOUBLE", "freight_value": "DOUBLE"}
 CENTS = "CAST({} * 100 AS HUGEINT)"
 
@@ -173,7 +175,7 @@ CENTS = "CAST({} * 100 AS HUGEINT)"
 def _assertions(*rows: tuple[str, str, str, str], views: tuple[str, ...]) -> str:
     parts = [
         f"""SELECT '{check}' AS "check", '{metric}' AS metric, CAST(v AS DOUBLE) AS "value",
-            CAST(e AS DOUBLE) AS expected, v = e AS ok FROM (SELECT ({value}) AS v, ({expected}) AS e)"""
+            CAST(e AS DOUBLE) AS expected, CAST(v = e AS VARCHAR) AS ok FROM (SELECT ({value}) AS v, ({expected}) AS e)"""
         for check, metric, value, expected in rows
     ]
     return _sql("\nUNION ALL\n".join(parts), *views)
@@ -229,10 +231,10 @@ ORACLE: dict[str, str] = {
     "dim_customers": _table("dim_customers"),
     "dim_products": _table("dim_products"),
     "dim_sellers": _table("dim_sellers"),
-    "payment_rollup": _table("rollup", {"payment_total": "DOUBLE"}),
-    "fact_orders": _table("fact_orders", {**DATES, "payment_total": "DOUBLE"}),
+    "payment_rollup": _table("rollup", ROLLUP),
+    "fact_orders": _table("fact_orders", {**DATES, **LATE, **ROLLUP, "late_delivery_days": "DOUBLE"}),
     "fact_order_items": _table("fact_order_items", {**DATES, **PRICES, "item_total_value": "DOUBLE"}),
-    "fact_reviews": _table("fact_reviews"),
+    "fact_reviews": _table("fact_reviews", {**LATE, "delivery_delay_days": "DOUBLE"}),
     "monthly_revenue": _sql(
         f"""
         SELECT CAST(purchase_month AS VARCHAR) AS purchase_month, CAST(cents AS DOUBLE) / 100 AS monthly_revenue,

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType
+from pyspark.sql.types import BooleanType, DateType, DecimalType
 
 from starloom.functions.fixed_values import CANCELED
 from starloom.plans import analyses, layout, quality, star_build
@@ -21,13 +21,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 MONTHS = ("1995-03-01", "2001-05-01")
 
 
+# Integer measures that can be NULL.
+OPTIONAL_COUNTS = ("late_delivery_days", "delivery_delay_days", "payment_count", "max_payment_installments")
+
+
 def plain(df: DataFrame) -> DataFrame:
-    """Types two engines print alike: exact decimals as the nearest double, dates as ISO text."""
+    """Types two engines print alike, NULLs included: numbers as the nearest double, days and flags as text."""
     changed = {}
     for field in df.schema:
-        if isinstance(field.dataType, DecimalType):
+        if isinstance(field.dataType, DecimalType) or field.name in OPTIONAL_COUNTS:
             changed[field.name] = F.col(field.name).cast("double")
-        elif isinstance(field.dataType, DateType):
+        elif isinstance(field.dataType, DateType | BooleanType):
             changed[field.name] = F.col(field.name).cast("string")
     return df.withColumns(changed) if changed else df
 
