@@ -1,4 +1,8 @@
-"""Measures derived while building the facts. All are NULL when an input is NULL."""
+"""Measures derived while building the facts. All are NULL when an input is NULL.
+
+Timestamps carry no zone, and nothing here may pass through one: ``date_trunc`` and ``timestampdiff`` would
+turn them into instants of the session zone, where a day can lack its midnight or last 23 hours.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,12 +19,19 @@ def month_start(ts: Column) -> Column:
 
 
 def has_time_of_day(ts: Column) -> Column:
-    return F.date_trunc("day", ts).cast("timestamp_ntz") != ts
+    return calendar_day(ts).cast("timestamp_ntz") != ts
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
     """Fractional days from ``start`` to ``end``, two decimals."""
-    return rounded_days(F.timestamp_diff("MICROSECOND", start, end))
+    gap = end - start
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), gap).cast("long")
+
+    seconds = F.extract(F.lit("SECOND"), gap)
+    whole_minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return rounded_days(whole_minutes * 60_000_000 + (seconds * 1_000_000).cast("long"))
 
 
 def days_late(actual: Column, promised: Column) -> Column:

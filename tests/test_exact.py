@@ -65,6 +65,24 @@ def test_elapsed_days_match_exact_rounding(table):
     assert got == {g: half_up(Fraction(g, 86_400_000_000)) for g in gaps}
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "America/New_York"])
+def test_measures_ignore_the_session_zone(spark, table, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # Midnight of 2017-10-15 does not exist in one of the zones; in the other, 2018-03-11 has 23 hours.
+        df = table(
+            "i int, a timestamp_ntz, b timestamp_ntz",
+            (1, dt.datetime(2017, 10, 14, 12), dt.datetime(2017, 10, 15)),
+            (2, dt.datetime(2018, 3, 10, 18), dt.datetime(2018, 3, 11, 18)),
+            (3, dt.datetime(2018, 3, 11, 18, 0, 0, 5), dt.datetime(2018, 3, 10, 6)),
+        )
+        got = df.select("i", measures.elapsed_days(F.col("a"), F.col("b")), measures.has_time_of_day(F.col("b")))
+        assert rows(got, "i") == [(1, D("0.50"), False), (2, D("1.00"), True), (3, D("-1.50"), True)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_calendar_helpers(table):
     df = table("t timestamp_ntz", (dt.datetime(2018, 8, 31, 23, 59),), (dt.datetime(2018, 1, 1),), (None,))
     got = df.select(
