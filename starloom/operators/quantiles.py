@@ -4,7 +4,7 @@ NTILE over one ordering is decided by its ``buckets - 1`` boundary rows. Those a
 an interval around each boundary position: a bounded sample proposes narrower limits, an exact count of
 the rows below them says which side holds the position. The sample only steers; a bad one costs another
 round, never a wrong answer. A round is two scans of one written table for all boundaries of all orderings
-and narrows an interval some fiftyfold, so ten billion rows take three; nothing large is ever shuffled.
+and narrows an interval some twentyfold, so ten billion rows take four; nothing large is ever shuffled.
 """
 
 import math
@@ -18,8 +18,8 @@ from pyspark.sql.types import StructType
 
 from starloom.scratch import staged
 
-SAMPLE_ROWS = 50_000
-FINISH_ROWS = 100_000
+SAMPLE_ROWS = 10_000
+FINISH_ROWS = 250_000
 # Sampled positions stray by about sqrt(sample) / 2; four times that almost always still brackets.
 SLACK = 2.0
 

@@ -38,8 +38,9 @@ def layout_study(
     rows = []
     for layout, by_status, by_month in (("plain", (), ()), ("folders", ("order_status",), ("purchase_month",))):
         found = orders_with_status(laid_out(fact_orders, by_status), status)
+        totals = month_totals(laid_out(fact_order_items, by_month), months)
         rows.append(("selective lookup", layout, *scan_work(found)))
-        rows.append(("month window", layout, *scan_work(month_totals(laid_out(fact_order_items, by_month), months))))
+        rows.append(("month window", layout, *scan_work(totals)))
     return fact_orders.sparkSession.createDataFrame(rows, WORK)
 
 
@@ -48,8 +49,8 @@ def scan_work(df: DataFrame) -> tuple[int, int, int, int]:
     counted = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.hash(*df.columns).isNotNull()))
     returned = counted.collect()[0]["rows"]
     scans = list(_file_scans(counted._jdf.queryExecution().executedPlan()))
-    files, size, rows = (sum(_metric(scan, name) for scan in scans) for name in ("numFiles", "filesSize", "numOutputRows"))
-    return files, size, rows, returned
+    work = (sum(_metric(scan, name) for scan in scans) for name in ("numFiles", "filesSize", "numOutputRows"))
+    return *work, returned
 
 
 def _file_scans(node) -> Iterator:

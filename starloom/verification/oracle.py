@@ -169,6 +169,7 @@ DATES = {"purchase_date": "VARCHAR", "purchase_month": "VARCHAR"}
 LATE = {"is_delivered_late": "VARCHAR"}
 ROLLUP = {"payment_total": "DOUBLE", "payment_count": "DOUBLE", "max_payment_installments": "DOUBLE"}
 PRICES = {"price": "DOUBLE", "freight_value": "DOUBLE"}
+RAW_MONEY = {"order_items": PRICES, "order_payments": {"payment_value": "DOUBLE"}}
 CENTS = "CAST({} * 100 AS HUGEINT)"
 
 
@@ -221,9 +222,7 @@ STAR_VIEWS = ("dim_customers", "dim_products", "dim_sellers", "fact_orders", "fa
 
 ORACLE: dict[str, str] = {
     **{
-        f"csv_{table}": _table(
-            view, PRICES if table == "order_items" else {"payment_value": "DOUBLE"} if table == "order_payments" else {}
-        )
+        f"csv_{table}": _table(view, RAW_MONEY.get(table))
         for table, view in RAW_NAMES.items()
     },
     "raw_reload": _row_counts(RAW_NAMES),
@@ -273,12 +272,12 @@ ORACLE: dict[str, str] = {
         },
     ),
     "top_sellers": _sql(
-        """
+        f"""
         SELECT category, seller_id, CAST(total AS DOUBLE) AS total_sold, the_rank FROM (
             SELECT category, seller_id, total,
                 rank() OVER (PARTITION BY category ORDER BY total DESC NULLS FIRST) AS the_rank
             FROM (
-                SELECT coalesce(product_category_name_english, product_category_name, 'unknown') AS category,
+                SELECT coalesce(product_category_name_english, product_category_name, '{fixed.NO_CATEGORY}') AS category,
                     seller_id, sum(item_total_value) AS total
                 FROM fact_order_items i JOIN earning e ON i.order_id = e.order_id
                 JOIN dim_products p ON i.product_id = p.product_id GROUP BY ALL))

@@ -58,7 +58,20 @@ def test_line_break_in_the_header(read):
 
 @pytest.mark.parametrize(
     "bad",
-    ["a,b\n", "a,b,,1,5\n", "a,b,yesterday,1\n", "a,b,,one\n", 'a,b,,""\n', "a,b,,3.125\n", "a,b,,3e1\n", 'a,"b\n",\n', 'a,"b,,1\n', "\nc,d,,1\n", 'a,"\n",,\n\n', "a,\x01,,1\n"],
+    [
+        "a,b\n",
+        "a,b,,1,5\n",
+        "a,b,yesterday,1\n",
+        "a,b,,one\n",
+        'a,b,,""\n',
+        "a,b,,3.125\n",
+        "a,b,,3e1\n",
+        'a,"b\n",\n',
+        'a,"b,,1\n',
+        "\nc,d,,1\n",
+        'a,"\n",,\n\n',
+        "a,\x01,,1\n",
+    ],
 )
 def test_bad_records_stop_the_load(read, bad):
     with pytest.raises(Exception):

@@ -60,7 +60,8 @@ def test_elapsed_days_match_exact_rounding(table):
     rnd = random.Random(1)
     start = dt.datetime(2017, 3, 1, 2, 3, 4)
     gaps = [rnd.randint(-10, 10**12) for _ in range(200)] + [432_000_000, 431_999_999, -432_000_000]
-    df = table("g long, a timestamp_ntz, b timestamp_ntz", *[(g, start, start + dt.timedelta(microseconds=g)) for g in gaps])
+    spans = [(g, start, start + dt.timedelta(microseconds=g)) for g in gaps]
+    df = table("g long, a timestamp_ntz, b timestamp_ntz", *spans)
     got = dict(rows(df.select("g", measures.elapsed_days(F.col("a"), F.col("b")))))
     assert got == {g: half_up(Fraction(g, 86_400_000_000)) for g in gaps}
 

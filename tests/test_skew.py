@@ -55,7 +55,8 @@ def final_plan(df):
 
 
 def test_items_of_a_hot_order_are_split_at_the_join(spark, shuffled_joins):
-    items = filled(spark, raw_schema("order_items"), ROWS, order_id=hot("0"), order_item_id=F.col("id"), price=F.lit(1), freight_value=F.lit(0))
+    amounts = {"price": F.lit(1), "freight_value": F.lit(0)}
+    items = filled(spark, raw_schema("order_items"), ROWS, order_id=hot("0"), order_item_id=F.col("id"), **amounts)
     orders = filled(spark, raw_schema("orders"), ROWS, order_id=F.col("id"), customer_id=F.col("id"))
     customers = filled(spark, raw_schema("customers"), ROWS, customer_id=F.col("id"), customer_unique_id=F.col("id"))
     rows, plan = final_plan(star_build.fact_order_items(items, star_build.resolve_orders(orders, customers)))
@@ -109,7 +110,8 @@ def test_hot_person_shrinks_before_the_shuffle(spark, shuffled_joins):
 
 def test_hot_order_shrinks_before_the_revenue_join(spark, shuffled_joins):
     month = F.lit("2017-05-01").cast("date")
-    items = filled(spark, star_schema("fact_order_items"), ROWS, order_id=F.lit("1"), purchase_month=month, item_total_value=F.lit(1))
+    sold = {"purchase_month": month, "item_total_value": F.lit(1)}
+    items = filled(spark, star_schema("fact_order_items"), ROWS, order_id=F.lit("1"), **sold)
     orders = filled(spark, star_schema("fact_orders"), 10, order_id=F.col("id"), order_status=F.lit("delivered"))
     assert shuffled_rows(analyses.monthly_revenue(items, orders))[0] <= 20
 
@@ -121,5 +123,8 @@ def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
     facts = filled(spark, star_schema("fact_orders"), ROWS, order_id=F.col("id"), order_status=status)
     with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="100k"):
         write_table(facts, f"file://{tmp_path}/t", ["order_status"])
-    files = {status: len(list((tmp_path / "t" / f"order_status={status}").glob("*.parquet"))) for status in ("delivered", "canceled")}
-    assert files["delivered"] > 1 and files["canceled"] == 1
+
+    def files(status):
+        return len(list((tmp_path / "t" / f"order_status={status}").glob("*.parquet")))
+
+    assert files("delivered") > 1 and files("canceled") == 1
