@@ -13,7 +13,8 @@ WHOLE = "decimal(38,0)"
 
 
 def _two_places(hundredths: Column, precision: int) -> Column:
-    return (hundredths.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(f"decimal({precision},2)")
+    whole = hundredths.cast(f"decimal({precision},0)")
+    return (whole * F.lit(Decimal("0.01"))).cast(f"decimal({precision},2)")
 
 
 def rounded_ratio(numerator: Column, denominator: Column, per: int = 1) -> Column:
@@ -23,9 +24,11 @@ def rounded_ratio(numerator: Column, denominator: Column, per: int = 1) -> Colum
     """
     top = F.abs((numerator * F.lit(100)).cast(WHOLE)) * F.lit(2 * 100 * per)
     bottom = F.abs((denominator * F.lit(100)).cast(WHOLE))
-    hundredths = F.call_function("div", top + bottom, bottom * F.lit(2))
+    dividend, divisor = top + bottom, bottom * F.lit(2)
+    # Not ``div``: on decimals it returns a long and wraps around in silence.
+    hundredths = (dividend - dividend % divisor) / divisor
     negative = (numerator < F.lit(0)) != (denominator < F.lit(0))
-    return _two_places(F.when(negative, -hundredths).otherwise(hundredths), 18)
+    return _two_places(F.when(negative, -hundredths).otherwise(hundredths), 30)
 
 
 def rounded_mean(total: Column, count: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql.types import StructType
 
 # Amounts of this precision are plain 64-bit integers to Parquet and Spark; a larger one fails its cast.
 MONEY = "decimal(18,2)"
+MONEY_SUM = "decimal(28,2)"
 DEGREES = "decimal(38,18)"
 
 # Column names, order and types of the input files, which bind by position.
@@ -58,7 +59,7 @@ STAR_DDL = {
         order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz,
         order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz,
         delivery_days decimal(12,2), estimated_delivery_days decimal(12,2), late_delivery_days int,
-        is_delivered_late boolean, payment_total {MONEY}, payment_count int,
+        is_delivered_late boolean, payment_total {MONEY_SUM}, payment_count long,
         max_payment_installments int""",
     "fact_order_items": f"""
         order_id string, order_item_id int, product_id string, seller_id string,
