@@ -5,7 +5,9 @@ text is cut at boundaries where no token can span, every distinct piece is encod
 batches, and the rest is column lookups. ``tests/llm/test_tokens.py`` compares with the library on whole texts.
 """
 
+import contextlib
 import functools
+import gc
 import os
 import re
 from array import array
@@ -28,7 +30,7 @@ PIECE = re.compile(rf"[{SPACE}]*[{LETTER}]+(?=[!-@\[-`{{-~{SPACE}]|\Z)|[{SPACE}]
 LETTERS = re.compile(rf"\x20?[{LETTER}]+")
 
 BATCH_BYTES = 16 << 20
-KNOWN_PIECES = 3_000_000
+KNOWN_PIECES = 2_500_000
 LIBRARY_BATCH = 4096
 
 
@@ -52,34 +54,56 @@ def balanced(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
         start = stop
 
 
+@contextlib.contextmanager
+def no_collections():
+    """Without looking for cycles, which takes longer than the work while millions of small lists come and go."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Memory:
     """Ids by the 128-bit hash of a piece, in flat arrays: some 40 bytes a piece, a fifth of a dictionary's."""
 
     def __init__(self):
-        self.keys = np.empty((0, 2), np.uint64)  # ordered by the first
-        self.begins = self.lengths = np.empty(0, np.int64)
+        self.high = self.low = np.empty(0, np.uint64)  # the halves of the hashes, by the first
+        self.begins = self.lengths = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
     @property
     def full(self) -> bool:
-        return len(self.keys) > KNOWN_PIECES or len(self.ids) > 8 * KNOWN_PIECES
+        return len(self.high) > KNOWN_PIECES or len(self.ids) > 8 * KNOWN_PIECES
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key is, or -1."""
-        if not len(self.keys):
+        if not len(self.high):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys[:, 0], keys[:, 0]), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys).all(axis=1), at, -1)
+        high = np.ascontiguousarray(keys[:, 0])
+        order = np.argsort(high)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(self.high, high[order])  # in order: each search begins in the cache
+        at = np.minimum(at, len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == keys[:, 1]), at, -1)
 
     def add(self, keys: np.ndarray, encoded: list[bytes]) -> None:
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        begins = len(self.ids) + np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, encoded), np.int32, len(encoded)) // 4
+        begins = (len(self.ids) + np.cumsum(lengths) - lengths).astype(np.int32)
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), np.uint32)])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys[:, 0], kind="stable")
-        self.keys = keys[order]
-        self.begins = np.concatenate([self.begins, begins])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        order = np.argsort(keys[:, 0])
+        # Where the new ones and the known ones go when both are merged.
+        new = np.searchsorted(self.high, keys[order, 0]) + np.arange(len(order))
+        known = np.ones(len(self.high) + len(order), bool)
+        known[new] = False
+
+        def merged(old: np.ndarray, own: np.ndarray) -> np.ndarray:
+            out = np.empty(len(known), old.dtype)
+            out[known], out[new] = old, own[order]
+            return out
+
+        self.high, self.low = merged(self.high, keys[:, 0]), merged(self.low, keys[:, 1])
+        self.begins, self.lengths = merged(self.begins, begins), merged(self.lengths, lengths)
 
 
 def hashes(pieces: list[bytes], seed: int = 0) -> np.ndarray:
@@ -139,12 +163,13 @@ class PieceEncoder:
         part_keys = hashes([p.encode() for p in parts])
         new = np.flatnonzero(self.memory.find(part_keys) < 0)
         self.memory.add(part_keys[new], self._encoded([parts[i] for i in new]))
-        at = self.memory.find(part_keys)
-        ids, begins, ends = self.memory.ids, self.memory.begins[at], (self.memory.begins + self.memory.lengths)[at]
-        raw = ids.tobytes()
-        ids_of = {p: raw[4 * b : 4 * e] for p, b, e in zip(parts, begins.tolist(), ends.tolist(), strict=True)}
-        unknown = np.flatnonzero(self.memory.find(keys) < 0)  # a word of one piece has just been learnt
-        self.memory.add(keys[unknown], [b"".join([ids_of[p] for p in cut[i]]) for i in unknown])
+        # A word of one piece has just been learnt; the others are put together.
+        several = [i for i in np.flatnonzero(self.memory.find(keys) < 0) if len(cut[i]) != 1]
+        wanted = list({p for i in several for p in cut[i]})
+        at = self.memory.find(hashes([p.encode() for p in wanted]))
+        begins, lengths, ids = self.memory.begins[at].tolist(), self.memory.lengths[at].tolist(), self.memory.ids
+        ids_of = {p: ids[b : b + n].tobytes() for p, b, n in zip(wanted, begins, lengths, strict=True)}
+        self.memory.add(keys[several], [b"".join([ids_of[p] for p in cut[i]]) for i in several])
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Per text the end of its words, per word its code, per code the word: texts whose blanks are all safe cuts."""
@@ -178,15 +203,18 @@ class PieceEncoder:
             at = self.memory.find(keys)
             if (new := np.flatnonzero(at < 0)).size:
                 new = new[np.unique(keys[new, 0], return_index=True)[1]]
-                self._learn([words[i].decode() for i in new], keys[new])
+                with no_collections():
+                    self._learn([words[i].decode() for i in new], keys[new])
                 at = self.memory.find(keys)
             own = self.memory.lengths[at][codes]
-            after = np.concatenate([[0], np.cumsum(own)])
+            after = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
             text_ends = after[ends]
             counts[where] = np.diff(text_ends, prepend=0)
             if with_ids:
-                begins = self.memory.begins[at][codes]
-                taken = self.memory.ids[np.repeat(begins - after[:-1], own) + np.arange(after[-1])]
+                shift = (self.memory.begins[at][codes] - after[:-1]).astype(np.int32)
+                where_to = np.repeat(shift, own)
+                where_to += np.arange(after[-1], dtype=np.int32)
+                taken = self.memory.ids[where_to]
                 for i, part in zip(where, np.split(taken, text_ends[:-1]), strict=True):
                     ids[i] = part
         return counts, ids
