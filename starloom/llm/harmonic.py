@@ -13,6 +13,7 @@ from starloom.llm.tokens import encoder
 from starloom.scratch import staged
 
 CAPACITY = 4096
+TEXT_AT_ONCE = 6 << 20  # bytes; a worker stays small beside an executor whose heap earlier stages have filled
 
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -80,7 +81,7 @@ def harmonic_packing(
 
         end, out = np.array([end_id], np.uint32), []
         for batch in batches:
-            for own_id, own in zip(batch.column("id").to_pylist(), encode.ids(batch.column("text")), strict=True):
+            for own_id, own in zip(batch.column("id").to_pylist(), encode.ids(batch.column("text"), TEXT_AT_ONCE), strict=True):
                 data = memoryview(np.concatenate([own, end]).astype("<u4")).cast("B")
                 total, start = len(own) + 1, 0
                 for kind in lengths_of.get(total) or lengths_of.setdefault(total, cuts(total, capacity)):

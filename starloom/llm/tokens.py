@@ -43,8 +43,9 @@ def vocabulary_path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
-def balanced(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
-    """Slices of about ``limit`` bytes each, of one text at least."""
+def balanced(texts: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """Slices of about ``limit`` bytes each (``BATCH_BYTES`` if not named), of one text at least."""
+    limit = limit or BATCH_BYTES
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(texts):
@@ -223,9 +224,9 @@ class PieceEncoder:
         """Tokens of each text."""
         return np.concatenate([np.empty(0, np.int64), *(self._some(s, False)[0] for s in balanced(texts))])
 
-    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        for some in balanced(texts):
+    def ids(self, texts: pa.Array, limit: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text; ``limit`` bytes of text at once."""
+        for some in balanced(texts, limit):
             yield from self._some(some, True)[1]
 
 
@@ -237,8 +238,8 @@ class PieceModelEncoder:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(vocabulary))
 
-    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for some in balanced(texts):
+    def ids(self, texts: pa.Array, limit: int | None = None) -> Iterator[np.ndarray]:
+        for some in balanced(texts, limit):
             for encoded in self.model.encode(some.to_pylist(), num_threads=1):
                 yield np.array(encoded, np.uint32)
 
