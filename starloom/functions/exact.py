@@ -39,5 +39,7 @@ def rounded_mean(total: Column, count: Column) -> Column:
 def rounded_days(micros: Column) -> Column:
     """Microseconds as days with two decimals; long arithmetic, since this runs once per row."""
     day = 86_400_000_000
-    hundredths = F.call_function("div", F.abs(micros) * F.lit(200) + F.lit(day), F.lit(2 * day))
+    whole, rest = F.call_function("div", F.abs(micros), F.lit(day)), F.abs(micros) % F.lit(day)
+    # Whole days apart, so that the most distant dates stay within the range of a long.
+    hundredths = whole * 100 + F.call_function("div", rest * F.lit(200) + F.lit(day), F.lit(2 * day))
     return _two_places(F.when(micros < 0, -hundredths).otherwise(hundredths), 12)

@@ -97,11 +97,12 @@ def ntile_columns(
         in_reach = reduce(Column.__or__, [keys[s.name].between(s.low, s.high) for s in searches])
         near = staged(table.filter(in_reach), "ntile-boundaries")
     found = _boundary_rows(near, keys, searches) if searches else {}
+    _check_positions(table, keys, found)
     return table.select(
         "*",
         *[
             reduce(
-                lambda bucket, last: bucket + (key.of_row() > key.literal(last)).cast("int"),
+                lambda bucket, last: bucket + (key.of_row() > key.literal(last[1])).cast("int"),
                 found.get(name, []),
                 F.lit(1),
             ).alias(name)
@@ -160,8 +161,8 @@ def _proposed_limits(sample: list[tuple], search: _Boundary) -> list[tuple]:
 
 def _boundary_rows(
     rows: DataFrame, keys: Mapping[str, _Key], searches: list[_Boundary]
-) -> dict[str, list[tuple]]:
-    """The searched rows, each picked from an interval whose row count is known to be small."""
+) -> dict[str, list[tuple[int, tuple]]]:
+    """The searched rows with their positions, each picked from an interval whose row count is known to be small."""
     shared: dict[tuple, list[_Boundary]] = {}
     for s in searches:
         shared.setdefault(s.interval, []).append(s)
@@ -174,7 +175,18 @@ def _boundary_rows(
             .select(F.lit(name).alias("name"), key.as_text().alias("boundary"), position.alias("position"))
             .filter(F.col("position").isin(*[s.target for s in inside]))
         )
-    found: dict[str, list[tuple]] = {}
+    found: dict[str, list[tuple[int, tuple]]] = {}
     for row in reduce(DataFrame.unionAll, picks).collect():
-        found.setdefault(row["name"], []).append(tuple(row["boundary"]))
+        found.setdefault(row["name"], []).append((row["position"], tuple(row["boundary"])))
     return found
+
+
+def _check_positions(table: DataFrame, keys: Mapping[str, _Key], found: Mapping[str, list]) -> None:
+    """In one scan, at any size: as many rows lie up to each boundary as its position says, or rows tie across it."""
+    boundaries = [(name, position, key) for name, own in found.items() for position, key in own]
+    if not boundaries:
+        return
+    counted = table.agg(*[F.count_if(keys[name].up_to(key)) for name, _, key in boundaries]).head()
+    for (name, position, _), rows in zip(boundaries, counted, strict=True):
+        if rows != position:
+            raise ValueError(f"{keys[name].columns} does not tell all rows apart: add a unique tiebreak")

@@ -1,20 +1,14 @@
-"""When does a file layout pay off? Two layouts, a selective and a non-selective filter, work compared.
+"""Two layouts of a table, and a filter that no layout spares much of the scan."""
 
-The evidence is work done (files, bytes and rows the scan read), which a warm cache cannot flatter.
-"""
-
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.growth import within
-from starloom.plans.analyses import orders_with_status
 from starloom.scratch import scratch_path
 from starloom.sources.store import read_table, write_table
 
-WORK = "question string, layout string, files long, bytes long, scanned_rows long, result_rows long"
-
 
 def laid_out(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """``df`` rewritten, with or without folders per value of ``partition_by``, and read from there."""
@@ -29,44 +23,3 @@ def month_totals(fact_order_items: DataFrame, months: tuple[str, str]) -> DataFr
     return kept.groupBy("purchase_month").agg(
         F.count(F.lit(1)).alias("items"), F.sum("item_total_value").alias("total")
     )
-
-
-def layout_study(
-    fact_orders: DataFrame, fact_order_items: DataFrame, status: str, months: tuple[str, str]
-) -> DataFrame:
-    """One row per question and layout with the work its scan did."""
-    rows = []
-    for layout, by_status, by_month in (("plain", (), ()), ("folders", ("order_status",), ("purchase_month",))):
-        found = orders_with_status(laid_out(fact_orders, by_status), status)
-        totals = month_totals(laid_out(fact_order_items, by_month), months)
-        rows.append(("selective lookup", layout, *scan_work(found)))
-        rows.append(("month window", layout, *scan_work(totals)))
-    return fact_orders.sparkSession.createDataFrame(rows, WORK)
-
-
-def scan_work(df: DataFrame) -> tuple[int, int, int, int]:
-    """Run ``df``; files, bytes and rows read by its Parquet scans, and rows it returned."""
-    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.hash(*df.columns).isNotNull()))
-    returned = counted.collect()[0]["rows"]
-    scans = list(_file_scans(counted._jdf.queryExecution().executedPlan()))
-    work = (sum(_metric(scan, name) for scan in scans) for name in ("numFiles", "filesSize", "numOutputRows"))
-    return *work, returned
-
-
-def _file_scans(node) -> Iterator:
-    """Scan nodes of an executed plan, looking through adaptive execution and its stages."""
-    kind = node.getClass().getSimpleName()
-    if kind == "AdaptiveSparkPlanExec":
-        yield from _file_scans(node.executedPlan())
-    elif kind.endswith("QueryStageExec"):
-        yield from _file_scans(node.plan())
-    elif kind == "FileSourceScanExec":
-        yield node
-    else:
-        children = node.children()
-        for i in range(children.size()):
-            yield from _file_scans(children.apply(i))
-
-
-def _metric(scan, name: str) -> int:
-    return scan.metrics().apply(name).value()

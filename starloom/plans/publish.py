@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.plans import star_build
 from starloom.plans.quality import informative_checks, primary_keys
+from starloom.session import require_settings
 from starloom.sources import store
 from starloom.sources.csv_files import read_raw_csv
 from starloom.sources.schemas import RAW_DDL, STAR_DDL, raw_schema, star_schema
@@ -22,6 +23,7 @@ class KeyViolation(Exception):
 
 def load_raw(spark: SparkSession, paths: Mapping[str, str], root: str) -> int:
     """Replace the raw layer by the nine CSV inputs; a bad record leaves the previous load in place."""
+    require_settings(spark)
     run = store.new_run(root)
     for table in RAW_DDL:
         store.write_table(read_raw_csv(spark, table, paths[table]), f"{run}/{table}")
@@ -39,6 +41,7 @@ def publish(spark: SparkSession, raw: Mapping[str, DataFrame], root: str) -> int
     Only a broken key stops the switch. The report of all checks is kept beside the tables
     (``read_report``); the other checks inform.
     """
+    require_settings(spark)
     run = store.new_run(root)
     _write_star(spark, raw, run)
     star = _star_at(spark, run)

@@ -6,6 +6,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+REQUIRED = ("spark.sql.ansi.enabled", "spark.sql.adaptive.enabled")
+
+
+def require_settings(spark: SparkSession) -> None:
+    """Refuse a session in which an amount that does not fit becomes NULL, or hot keys are not split at joins."""
+    for key in REQUIRED:
+        if spark.conf.get(key) != "true":
+            raise RuntimeError(f"{key} must be true")
+
+
 def local_session(cores: str | int = "*", name: str = "starloom") -> SparkSession:
     shuffle_partitions = os.cpu_count() if cores == "*" else int(cores)
     return (

@@ -11,14 +11,12 @@ without any, Spark's own reader takes the files in splits; otherwise the records
 lines, again in splits.
 """
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, StringType, StructField, StructType, TimestampNTZType
 
 from starloom.scratch import staged
-from starloom.sources.schemas import RAW_DDL, raw_schema
+from starloom.sources.schemas import raw_schema
 
 EMPTY = "\x01"
 DIALECT = {
@@ -32,6 +30,7 @@ DIALECT = {
     "columnPruning": "false",
 }
 BLOCK = ("file", "block")
+AS_TEXT = (DecimalType, TimestampNTZType)
 
 
 def read_raw_csv(spark: SparkSession, table: str, path: str | list[str]) -> DataFrame:
@@ -39,9 +38,9 @@ def read_raw_csv(spark: SparkSession, table: str, path: str | list[str]) -> Data
 
 
 def read_csv(spark: SparkSession, schema: StructType, path: str | list[str]) -> DataFrame:
-    # Decimals arrive as text, so that excess places can be told from rounding.
+    # Decimals and times arrive as text, so that excess places and missing days can be told.
     textual = StructType(
-        [StructField(f.name, StringType() if isinstance(f.dataType, DecimalType) else f.dataType) for f in schema]
+        [StructField(f.name, StringType() if isinstance(f.dataType, AS_TEXT) else f.dataType) for f in schema]
     )
     lines = _lines(spark, path)
     if _records_span_lines(lines):
@@ -68,7 +67,8 @@ def _records_span_lines(lines: DataFrame) -> bool:
     line = F.rtrim(F.col("value"), F.lit("\r"))
     found = lines.agg(
         F.max((F.col("odd") == 1) | line.contains("\r")).alias("spanning"),
-        F.max(line == "").alias("blank"),
+        # Spark's reader skips every line that trims to nothing, be it the header.
+        F.max(line.rlike(r"^[\x00-\x20]*$")).alias("blank"),
         F.max(line.contains(EMPTY)).alias("reserved"),
         F.max(~F.is_valid_utf8("value")).alias("invalid"),
     ).head()
@@ -152,17 +152,21 @@ def _typed(field: StructField) -> Column:
         return F.when(value == EMPTY, "").otherwise(value)
     if isinstance(field.dataType, DecimalType):
         return _exact_decimal(value, field.dataType)
+    if isinstance(field.dataType, TimestampNTZType):
+        return _full_time(value)
     return value
 
 
+def _full_time(text: Column) -> Column:
+    """``text`` as a time; anything without a full date stops the job."""
+    full = text.rlike(r"^\s*\d{4,6}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?)?\s*$")
+    problem = F.concat(F.lit("not a date or time: "), text)
+    return F.when(text.isNull() | full, F.trim(text).cast("timestamp_ntz")).otherwise(F.raise_error(problem))
+
+
 def _exact_decimal(text: Column, kind: DecimalType) -> Column:
     """``text`` as ``kind``; anything but plain digits within the scale stops the job."""
     places = F.length(F.rtrim(F.regexp_extract(text, r"\.(\d*)$", 1), F.lit("0")))
     plain = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)$") & (places <= kind.scale)
     problem = F.concat(F.lit(f"not a {kind.simpleString()}: "), text)
     return F.when(text.isNull() | plain, text.cast(kind)).otherwise(F.raise_error(problem))
-
-
-def load_raw_csv(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """All nine tables, from a path (file, folder or glob) each."""
-    return {table: read_raw_csv(spark, table, paths[table]) for table in RAW_DDL}

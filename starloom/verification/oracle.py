@@ -424,3 +424,7 @@ ORACLE: dict[str, str] = {
     "month_window_unpartitioned": MONTH_TOTALS,
     "month_window_partitioned": MONTH_TOTALS,
 }
+
+# The same questions, put to the published star and to the search for boundary rows.
+ORACLE["rfm_search"] = ORACLE["rfm"]
+ORACLE.update({f"published_{table}": ORACLE[table] for table in STAR_VIEWS})

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType
 
-from starloom.functions.fixed_values import CANCELED
 from starloom.plans import analyses, layout, quality, star_build
 from starloom.plans.publish import load_raw, publish, read_raw, read_star
 from starloom.scratch import scratch_path
@@ -18,6 +17,7 @@ from starloom.sources.schemas import RAW_DDL
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The test tables' own analysis window: cuts both tails, as the default window does for real data.
+STAR_TABLES = ("dim_customers", "dim_products", "dim_sellers", "fact_orders", "fact_order_items", "fact_reviews")
 MONTHS = ("1995-03-01", "2001-05-01")
 
 
@@ -129,9 +129,15 @@ def _month_totals(by_month: bool) -> Query:
     return query
 
 
-def layout_scan_work(spark: SparkSession, folder: str) -> DataFrame:
-    tables = Tables(spark, folder)
-    return layout.layout_study(tables.fact_orders, tables.fact_order_items, CANCELED, MONTHS)
+def _published(table: str) -> Query:
+    """A table of the published star, as its readers find it."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        root = scratch_path(spark, "star")
+        publish(spark, RawTables(spark, folder), root)
+        return plain(read_star(spark, root)[table])
+
+    return query
 
 
 QUERIES: dict[str, Query] = {
@@ -167,5 +173,7 @@ QUERIES: dict[str, Query] = {
     "lookup_partitioned": _lookup(by_status=True),
     "month_window_unpartitioned": _month_totals(by_month=False),
     "month_window_partitioned": _month_totals(by_month=True),
-    "layout_scan_work": layout_scan_work,
+    # The search for boundary rows, which larger tables than these need.
+    "rfm_search": _over(lambda t: analyses.rfm(t.fact_orders, sample_rows=60, finish_rows=100)),
+    **{f"published_{table}": _published(table) for table in STAR_TABLES},
 }

@@ -2,12 +2,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from starloom.verification.oracle import ORACLE
+from starloom.verification.queries import QUERIES
 from tests.conftest import SMALL
 from verify_local import TABLES, _rows
 
 CHEAP = [
     "fact_orders", "fact_order_items", "fact_reviews", "monthly_revenue", "cohort_retention", "top_sellers",
-    "late_rate", "rfm", "review_delay", "check_orphans", "check_primary_keys", "csv_order_reviews",
+    "late_rate", "rfm", "rfm_search", "published_fact_reviews", "review_delay", "check_orphans", "check_primary_keys", "csv_order_reviews",
 ]
 
 
@@ -29,18 +31,8 @@ def test_query_matches_sql(spark, db, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"layout_scan_work"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).columns == ["purchase_month", "monthly_revenue", "mom_change_pct", "moving_avg_3mo"]
-
-
-def test_folders_spare_the_selective_scan_only(spark):
-    work = {(r["question"], r["layout"]): r for r in entry.queries()["layout_scan_work"](spark, SMALL).collect()}
-    plain, folders = work["selective lookup", "plain"], work["selective lookup", "folders"]
-    assert folders["result_rows"] == plain["result_rows"] == folders["scanned_rows"]
-    assert folders["scanned_rows"] < plain["scanned_rows"] / 2 and folders["bytes"] < plain["bytes"]
-    plain, folders = work["month window", "plain"], work["month window", "folders"]
-    assert folders["result_rows"] == plain["result_rows"]
-    assert folders["scanned_rows"] > plain["scanned_rows"] * 0.9
