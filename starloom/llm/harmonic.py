@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import arrow_schema, ddl, running_before
@@ -66,7 +66,6 @@ def harmonic_packing(
     fields = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     schema = f"{ddl(rows, id='id')}, {fields}, task int, class int, bin bigint, nth bigint, ids binary"
     out_schema = arrow_schema(schema)
-    id_type = out_schema.field("id").type
     lengths_of = {}
 
     def cut(batches):
@@ -105,7 +104,7 @@ def harmonic_packing(
     pieces = staged(rows.mapInArrow(cut, schema), "harmonic-pieces")
     numbers = staged(_numbered_bins(pieces), "harmonic-bins")
     left_total = numbers.agg(F.sum("last_tokens"), F.sum("first_bins"), F.sum("second_bins")).first()
-    return _placed(pieces, numbers, tuple(int(n or 0) for n in left_total), capacity, id_type, with_ids, id_col)
+    return _placed(pieces, numbers, tuple(int(n or 0) for n in left_total), capacity, with_ids, id_col)
 
 
 def _numbered_bins(pieces: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def _numbered_bins(pieces: DataFrame) -> DataFrame:
         classes = running_before(classes, total, before, ["class"])
     by_task = running_before(counts, "bins", "bins_before", ["task"], ["class"])
     by_task = running_before(by_task, "left", "left_before", ["task"], ["class"])
-    first_of_class = F.min("task").over(_by_class())
+    first_of_class = F.min("task").over(Window.partitionBy("class"))
     totals = ["first_bins", "second_bins", "last_tokens"]  # on one row of each class, so that they can be summed
     joined = by_task.drop("piece").join(classes, "class").withColumn("is_first", F.col("task") == first_of_class)
     return joined.withColumn("class_second", F.col("second_bins")).withColumns(
@@ -138,14 +137,8 @@ def _numbered_bins(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _by_class():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("class")
-
-
 def _placed(
-    pieces: DataFrame, numbers: DataFrame, totals: tuple[int, int, int], capacity: int, id_type, with_ids: bool,
+    pieces: DataFrame, numbers: DataFrame, totals: tuple[int, int, int], capacity: int, with_ids: bool,
     id_col: str,
 ) -> DataFrame:
     last_tokens, first_bins, second_bins = totals

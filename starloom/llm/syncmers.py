@@ -11,7 +11,6 @@ import bisect
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

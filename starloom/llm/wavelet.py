@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import arrow_schema, ddl, running_before
+from starloom.llm.common import arrow_schema, running_before
 from starloom.llm.tokens import encoder, vocabulary_size
 from starloom.scratch import staged
 
