@@ -2,7 +2,10 @@
 
     python -m starloom load <csv folder> <root>       <csv folder>/<table>.csv, nine of them
     python -m starloom publish <root>
-    python -m starloom report <root> <name> <output>  Parquet
+    python -m starloom report <root> <name> <output> [<option>=<value> ...]  Parquet
+
+Options: ``months=2017-01-01,2018-08-01`` (first and last) of monthly_revenue and orders_outside_window, ``k=3`` of
+top_sellers, ``buckets=4`` of rfm, ``status=canceled`` of canceled_orders.
 """
 
 import sys
@@ -14,20 +17,24 @@ from starloom.plans.publish import load_raw, publish, read_raw, read_report, rea
 from starloom.sources.schemas import RAW_DDL
 
 REPORTS = {
-    "monthly_revenue": lambda raw, star: analyses.monthly_revenue(star["fact_order_items"], star["fact_orders"]),
+    "monthly_revenue": lambda raw, star, **options: analyses.monthly_revenue(
+        star["fact_order_items"], star["fact_orders"], **options
+    ),
     "cohort_retention": lambda raw, star: analyses.retention(star["fact_orders"]),
-    "top_sellers": lambda raw, star: analyses.top_sellers(
-        star["fact_order_items"], star["dim_products"], star["fact_orders"]
+    "top_sellers": lambda raw, star, **options: analyses.top_sellers(
+        star["fact_order_items"], star["dim_products"], star["fact_orders"], **options
     ),
     "late_rate": lambda raw, star: analyses.late_rate(star["fact_orders"], star["dim_customers"]),
-    "rfm": lambda raw, star: analyses.rfm(star["fact_orders"]),
+    "rfm": lambda raw, star, **options: analyses.rfm(star["fact_orders"], **options),
     "review_delay": lambda raw, star: analyses.review_delay(star["fact_reviews"]),
-    "canceled_orders": lambda raw, star: analyses.orders_with_status(star["fact_orders"]),
+    "canceled_orders": lambda raw, star, **options: analyses.orders_with_status(star["fact_orders"], **options),
     "untranslated_categories": lambda raw, star: quality.untranslated_categories(star["dim_products"]),
-    "orders_outside_window": lambda raw, star: quality.orders_outside_window(star["fact_orders"]),
+    "orders_outside_window": lambda raw, star, **options: quality.orders_outside_window(star["fact_orders"], **options),
     "cost_of_one_address": lambda raw, star: quality.cost_of_one_address(raw["customers"]),
 }
 
+OPTIONS = {"months": lambda text: tuple(text.split(",")), "k": int, "buckets": int, "status": str}
+
 
 def main(spark: SparkSession, job: str, *args: str) -> None:
     if job == "load":
@@ -37,11 +44,12 @@ def main(spark: SparkSession, job: str, *args: str) -> None:
         (root,) = args
         publish(spark, read_raw(spark, f"{root}/raw"), f"{root}/star")
     elif job == "report":
-        root, name, output = args
+        root, name, output, *given = args
+        options = {key: OPTIONS[key](value) for key, _, value in (g.partition("=") for g in given)}
         if name == "quality_report":
             report = read_report(spark, f"{root}/star")
         else:
-            report = REPORTS[name](read_raw(spark, f"{root}/raw"), read_star(spark, f"{root}/star"))
+            report = REPORTS[name](read_raw(spark, f"{root}/raw"), read_star(spark, f"{root}/star"), **options)
         report.write.parquet(output)
     else:
         raise SystemExit(__doc__)

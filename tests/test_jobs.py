@@ -18,6 +18,9 @@ def test_jobs_from_csv_to_reports(spark):
         found[name] = spark.read.parquet(f"{root}/{name}").count()
     assert found["quality_report"] == 31 and found["untranslated_categories"] == 2
     assert found["late_rate"] > 20 and found["rfm"] > 100 and found["cohort_retention"] > 100
+    for name, option in (("monthly_revenue", "months=1995-03-01,2001-05-01"), ("canceled_orders", "status=delivered")):
+        main(spark, "report", root, name, f"{root}/{name}-chosen", option)
+        assert spark.read.parquet(f"{root}/{name}-chosen").count() > 50
     with pytest.raises(SystemExit):
         main(spark, "unknown")
 
