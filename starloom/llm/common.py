@@ -1,9 +1,10 @@
 """Small helpers shared by the operators."""
 
+import contextlib
 import functools
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,6 +26,18 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for the jobs that run inside; a batch lies in the executor and in its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import arrow_schema, ddl, running_before
+from starloom.llm.common import arrow_batches, arrow_schema, ddl, running_before
 from starloom.llm.tokens import encoder
 from starloom.scratch import staged
 
@@ -101,7 +101,8 @@ def harmonic_packing(
         if out:
             yield emitted(out)
 
-    pieces = staged(rows.mapInArrow(cut, schema), "harmonic-pieces")
+    with arrow_batches(docs.sparkSession, TEXT_AT_ONCE):
+        pieces = staged(rows.mapInArrow(cut, schema), "harmonic-pieces")
     numbers = staged(_numbered_bins(pieces), "harmonic-bins")
     left_total = numbers.agg(F.sum("last_tokens"), F.sum("first_bins"), F.sum("second_bins")).first()
     return _placed(pieces, numbers, tuple(int(n or 0) for n in left_total), capacity, with_ids, id_col)
