@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import arrow_schema, ddl, running_before, written_in_order
+from starloom.llm.common import arrow_batches, arrow_schema, ddl, running_before, written_in_order
 from starloom.llm.ngrams import hashed_ngrams
 from starloom.scratch import staged
 
@@ -13,7 +13,8 @@ BUCKETS = 1 << 12
 LABELLED = 8192
 SMOOTHING = 0.3
 GOOD_WEIGHT = 3.0
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 18  # a dozen arrays of eight times as much are in work
+BATCH_BYTES = 6 << 20
 
 
 def _joined(texts: list[bytes]):
@@ -139,10 +140,12 @@ def importance_resample(
     rows = rows.join(sample, F.col("id") == F.col("key"), "left").select(
         "id", "tie", "text", "target", "fits", (F.col("target") & F.col("fits")).alias("model")
     )
-    every, target = ngram_counts(rows, buckets)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        every, target = ngram_counts(rows, buckets)
     uniform = (F.xxhash64(F.lit("gumbel"), F.col("id").cast("string")).cast("double") + 2.0**63 + 1024) / (2.0**64 + 4096)
     gumbel = F.col("log_weight") - F.log(-F.log(uniform))
-    sums = staged(weighted(rows, log_ratios(every, target)).withColumn("gumbel_weight", gumbel), "importance-weights")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        sums = staged(weighted(rows, log_ratios(every, target)).withColumn("gumbel_weight", gumbel), "importance-weights")
     if size is None:
         known = sums.filter("target IS NOT NULL AND NOT fits").select("target", "log_weight").collect()  # bounded sample
         good, bad = (np.array([r.log_weight for r in known if r.target == t]) for t in (True, False))
