@@ -2,6 +2,7 @@
 
     python -m starloom load <csv folder> <root>       <csv folder>/<table>.csv, nine of them
     python -m starloom publish <root>
+    python -m starloom expire <root> [<keep>]         drop all loads and stars but the newest ones (1)
     python -m starloom report <root> <name> <output> [<option>=<value> ...]  Parquet
 
 Options: ``months=2017-01-01,2018-08-01`` (first and last) of monthly_revenue and orders_outside_window, ``k=3`` of
@@ -14,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from starloom.plans import analyses, quality
 from starloom.plans.publish import load_raw, publish, read_raw, read_report, read_star
+from starloom.sources import store
 from starloom.sources.schemas import RAW_DDL
 
 REPORTS = {
@@ -43,6 +45,10 @@ def main(spark: SparkSession, job: str, *args: str) -> None:
     elif job == "publish":
         (root,) = args
         publish(spark, read_raw(spark, f"{root}/raw"), f"{root}/star")
+    elif job == "expire":
+        root, keep = args[0], int(args[1]) if len(args) > 1 else 1
+        for layer in ("raw", "star"):
+            store.expire(spark, f"{root}/{layer}", keep)
     elif job == "report":
         root, name, output, *given = args
         options = {key: OPTIONS[key](value) for key, _, value in (g.partition("=") for g in given)}

@@ -30,18 +30,22 @@ def number_within(
     name: str,
     hot_rows: int = HOT_GROUP_ROWS,
     copies_per_task: int = COPIES_PER_TASK,
+    spread_bits: int = 64,
 ) -> DataFrame:
     """Add ``name``: the 1-based position of each row in its key group, by ``spread`` then by all columns.
 
     The order covers every column, so only exact copies tie and the set of results depends on the
-    data alone. ``spread`` is an integer computed from the row; it cuts a group of more than
-    ``hot_rows`` rows into cells that are numbered apart and shifted by the size of the cells before.
-    Exact copies inside such a group travel as one row with a count until the very end. Group sizes are
+    data alone. ``spread`` is an even hash of the row, a signed integer of 64 bits or an unsigned one of fewer
+    ``spread_bits``. A group of more than ``hot_rows`` rows is cut into ranges of it, the more the larger the group;
+    they are numbered apart and shifted by the size of those before, so the positions do not depend on the cut. Exact copies inside such a group travel as one row with a count until the very end. Group sizes are
     counted when this is called.
     """
     columns = df.columns
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = _renamed_keys(sized.filter(F.col("_rows") > hot_rows), keys, "_hot_")
+    # A quarter of ``hot_rows`` in a cell, so that an uneven one stays below it.
+    bits = F.ceil(F.log2(F.col("_rows") / max(hot_rows, 1))).cast("int") + 2
+    sized = sized.filter(F.col("_rows") > hot_rows).withColumn("_bits", F.least(bits, F.lit(spread_bits)))
+    hot = _renamed_keys(sized, keys, "_hot_", "_bits")
     # Written out, so that the planner knows how few they are and broadcasts them only then.
     hot = staged(hot, "hot-keys")
     in_order = Window.partitionBy(*keys).orderBy(spread, *columns)
@@ -50,24 +54,23 @@ def number_within(
         return df.withColumn(name, position)
     is_hot = same_key(df, hot, keys, "_hot_")
     plain = df.join(hot, is_hot, "left_anti").withColumn(name, position)
-    split = _number_hot(df.join(hot, is_hot, "left_semi"), keys, spread, name, copies_per_task)
+    cell = F.call_function("shiftright", spread.cast("long"), F.lit(spread_bits) - F.col("_bits"))
+    in_cells = df.join(hot, is_hot).select(*[df[c] for c in columns], cell.alias("_cell"))
+    split = _number_hot(in_cells, columns, keys, spread, name, copies_per_task)
     return plain.unionByName(split)
 
 
 def _number_hot(
-    df: DataFrame, keys: Sequence[str], spread: Column, name: str, copies_per_task: int
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], spread: Column, name: str, copies_per_task: int
 ) -> DataFrame:
-    columns = df.columns
-    packed = (
-        df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_cell", spread.cast("long"))
-    )
+    packed = df.groupBy(*columns, "_cell").agg(F.count(F.lit(1)).alias("_copies"))
     preceding = (Window.unboundedPreceding, -1)
     cells = packed.groupBy(*keys, "_cell").agg(F.sum("_copies").alias("_size"))
     shift = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(*preceding))
     shifts = _renamed_keys(
         cells.withColumn("_shift", F.coalesce(shift, F.lit(0))), [*keys, "_cell"], "_at_", "_shift"
     )
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy(*columns).rowsBetween(*preceding)
+    in_cell = Window.partitionBy(*keys, "_cell").orderBy(spread, *columns).rowsBetween(*preceding)
     placed = packed.withColumn("_before", F.coalesce(F.sum("_copies").over(in_cell), F.lit(0)))
     placed = placed.join(shifts, same_key(placed, shifts, [*keys, "_cell"], "_at_"))
     first = F.col("_shift") + F.col("_before") + 1

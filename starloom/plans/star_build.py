@@ -22,7 +22,6 @@ ORDER_CONTEXT = (
     "order_estimated_delivery_date",
 )
 REVIEW_KEYS = ("review_id", "order_id")
-REVIEW_SPREAD = 1024
 
 
 def dim_customers(customers: DataFrame) -> DataFrame:
@@ -106,7 +105,7 @@ def review_copies(reviews: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFra
         return reviews.withColumn("copy", F.lit(1).cast("long"))
     matches = same_key(reviews, repeated, REVIEW_KEYS, "_dup_")
     single = reviews.join(repeated, matches, "left_anti").withColumn("copy", F.lit(1).cast("long"))
-    spread = F.pmod(F.xxhash64(*reviews.columns), F.lit(REVIEW_SPREAD))
+    spread = F.xxhash64(*reviews.columns)
     several = reviews.join(repeated, matches, "left_semi")
     return single.unionByName(number_within(several, REVIEW_KEYS, spread, "copy", hot_rows))
 

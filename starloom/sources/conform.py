@@ -1,7 +1,7 @@
 """Raw-shaped tables derived from the TPC-H-like test tables.
 
 Stand-ins for the nine input files: same columns and types, same quirks (one checkout id per order,
-untranslated and missing categories, orders without payments, review ids shared by two orders).
+untranslated and missing categories, unavailable orders and orders without a status, orders without payments, review ids shared by two orders).
 """
 
 from collections.abc import Callable, Iterator, Mapping
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from starloom.operators.numbering import number_within
 from starloom.sources.schemas import MONEY, RAW_DDL, raw_schema, shaped
 
-LINE_SPREAD = 64
+LINE_SPREAD_BITS = 32
 UNTRANSLATED = ("LARGE", "SMALL")
 
 
@@ -101,7 +101,9 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "orders").select(
         key.alias("order_id"),
         key.alias("customer_id"),
-        F.when(status == "F", "delivered")
+        F.when(key % 97 == 5, "unavailable")
+        .when(key % 101 == 7, F.lit(None))
+        .when(status == "F", "delivered")
         .when(status == "O", "shipped")
         .when(status == "P", "canceled")
         .alias("order_status"),
@@ -115,14 +117,11 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, folder: str, numbered: bool = True) -> DataFrame:
-    """Items; ``numbered=False`` leaves ``order_item_id`` NULL for jobs that never look at it."""
+def order_items(spark: SparkSession, folder: str) -> DataFrame:
     lines = _table(spark, folder, "lineitem")
-    if numbered:
-        spread = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")) % LINE_SPREAD
-        lines = number_within(lines, ["l_orderkey"], spread, "line_ordinal")
-    else:
-        lines = lines.withColumn("line_ordinal", F.lit(None).cast("int"))
+    mixed = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")) % (1 << 31)
+    spread = (mixed * 2654435761) % (1 << LINE_SPREAD_BITS)
+    lines = number_within(lines, ["l_orderkey"], spread, "line_ordinal", spread_bits=LINE_SPREAD_BITS)
     price = F.col("l_extendedprice").cast(MONEY)
     return lines.select(
         F.col("l_orderkey").alias("order_id"),
@@ -175,22 +174,20 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def raw_table(spark: SparkSession, folder: str, table: str, **options) -> DataFrame:
-    return shaped(BUILDERS[table](spark, folder, **options), raw_schema(table))
+def raw_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return shaped(BUILDERS[table](spark, folder), raw_schema(table))
 
 
 class RawTables(Mapping[str, DataFrame]):
     """All nine tables; each is put together, and its inputs are looked at, when first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, numbered: bool = True):
+    def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
-        self._options = {"order_items": {"numbered": numbered}}
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self._built:
-            options = self._options.get(table, {})
-            self._built[table] = raw_table(self._spark, self._folder, table, **options)
+            self._built[table] = raw_table(self._spark, self._folder, table)
         return self._built[table]
 
     def __iter__(self) -> Iterator[str]:

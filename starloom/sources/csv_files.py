@@ -3,7 +3,7 @@
 Dialect: header line (its content is ignored), comma, UTF-8, ``"`` both quotes and escapes. An unquoted
 empty field is NULL, a quoted one the empty string. Quoted line breaks are data. A record with too few
 or too many fields (a blank line is one), or with a field that is not of its column's type, stops the
-load; so do bytes that are not UTF-8 and a decimal with more places than its column keeps, which Spark
+load; so do a quote inside a field that does not begin and end with one, bytes that are not UTF-8 and a decimal with more places than its column keeps, which Spark
 would replace and round in silence.
 
 Files stay splittable. One pass over the lines looks for what is wrong and for line breaks inside quotes:
@@ -63,12 +63,22 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _stray_quote(record: Column) -> Column:
+    """Whether quotes stand elsewhere than around whole fields, or doubled inside such a field.
+
+    With every quoted stretch written as one mark, a run of marks must begin and end at a comma or at an end.
+    """
+    marks = F.regexp_replace(record, '"[^"]*"', '"')
+    return record.contains('"') & marks.rlike('[^,"]"|"[^,"]')
+
+
 def _records_span_lines(lines: DataFrame) -> bool:
     line = F.rtrim(F.col("value"), F.lit("\r"))
     found = lines.agg(
         F.max((F.col("odd") == 1) | line.contains("\r")).alias("spanning"),
         # Spark's reader skips every line that trims to nothing, be it the header.
         F.max(line.rlike(r"^[\x00-\x20]*$")).alias("blank"),
+        F.max(_stray_quote(line)).alias("stray"),
         F.max(line.contains(EMPTY)).alias("reserved"),
         F.max(~F.is_valid_utf8("value")).alias("invalid"),
     ).head()
@@ -78,6 +88,8 @@ def _records_span_lines(lines: DataFrame) -> bool:
         raise ValueError(f"input contains {EMPTY!r}, which stands for empty strings while loading")
     if found["blank"] and not found["spanning"]:
         raise ValueError("input contains a blank line")
+    if found["stray"] and not found["spanning"]:
+        raise ValueError("input contains a quote inside a field")
     return bool(found["spanning"])
 
 
@@ -138,7 +150,8 @@ def _records(lines: DataFrame) -> DataFrame:
     records = placed.filter(whole).select(F.col("value").alias("record")).unionByName(joined)
     record = F.regexp_replace("record", "\r$", "")
     blank = F.raise_error(F.lit("input contains a blank line"))
-    return records.select(F.when(record == "", blank).otherwise(record).alias("record"))
+    stray = F.raise_error(F.lit("input contains a quote inside a field"))
+    return records.select(F.when(record == "", blank).when(_stray_quote(record), stray).otherwise(record).alias("record"))
 
 
 def _parsed(records: DataFrame, schema: StructType) -> DataFrame:

@@ -51,6 +51,26 @@ def announce(spark: SparkSession, root: str, run: str) -> int:
     return version
 
 
+def expire(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Delete the runs under ``root`` but the ``keep`` newest announced ones; returns the deleted folders.
+
+    Runs that failed before they were announced go too, so call it while nobody writes. Readers of an older
+    version must be done; the newest is never deleted.
+    """
+    if keep < 1:
+        raise ValueError("the current run cannot expire")
+    kept = {row["run"].rsplit("/", 1)[-1] for row in announced(spark, root).orderBy(F.col("version").desc()).head(keep)}
+    if not kept:
+        raise LookupError(f"nothing published under {root}")
+    context = spark.sparkContext
+    runs = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/runs")
+    files = runs.getFileSystem(context._jsc.hadoopConfiguration())
+    old = [status.getPath() for status in files.listStatus(runs) if status.getPath().getName() not in kept]
+    for path in old:
+        files.delete(path, True)
+    return [path.toString() for path in old]
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write ``df``, in evenly sized files even where one partition value holds most rows."""
     if not partition_by:

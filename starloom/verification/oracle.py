@@ -4,7 +4,7 @@ Ratios are taken over integers on both sides: DuckDB divides decimals as doubles
 """
 
 from starloom.functions import fixed_values as fixed
-from starloom.sources.conform import LINE_SPREAD, UNTRANSLATED
+from starloom.sources.conform import UNTRANSLATED
 from starloom.verification.queries import MONTHS
 
 MONEY = "DECIMAL(18,2)"
@@ -30,7 +30,7 @@ def _zip(key: str) -> str:
 
 
 BOUGHT = "(o_orderdate + to_seconds((o_orderkey * 7919) % 86400))"
-LINE_ORDER = f"""(l_partkey * 31 + l_suppkey * 17 + l_linenumber) % {LINE_SPREAD}, l_orderkey, l_partkey,
+LINE_ORDER = """((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 2147483648) * 2654435761 % 4294967296, l_orderkey, l_partkey,
     l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
     l_shipdate"""
 
@@ -64,8 +64,9 @@ VIEWS = {
         FROM part WHERE p_type NOT IN ({_quoted(UNTRANSLATED)})""",
     "r_orders": f"""
         SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_orderkey AS VARCHAR) AS customer_id,
-            CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END
-                AS order_status,
+            CASE WHEN o_orderkey % 97 = 5 THEN 'unavailable' WHEN o_orderkey % 101 = 7 THEN NULL
+                WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'shipped'
+                WHEN o_orderstatus = 'P' THEN 'canceled' END AS order_status,
             {BOUGHT} AS order_purchase_timestamp,
             {BOUGHT} + to_hours(1) AS order_approved_at,
             {BOUGHT} + to_days(2) AS order_delivered_carrier_date,
@@ -428,3 +429,4 @@ ORACLE: dict[str, str] = {
 # The same questions, put to the published star and to the search for boundary rows.
 ORACLE["rfm_search"] = ORACLE["rfm"]
 ORACLE.update({f"published_{table}": ORACLE[table] for table in STAR_VIEWS})
+ORACLE.update({f"reloaded_{table}": ORACLE[f"csv_{table}"] for table in RAW_NAMES})

@@ -1,7 +1,7 @@
 """One named query per operator, run on raw tables derived from the test tables."""
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +39,8 @@ def plain(df: DataFrame) -> DataFrame:
 class Tables:
     """Raw and star tables over one folder, each put together when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, numbered: bool = False):
-        self.raw = RawTables(spark, folder, numbered)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.raw = RawTables(spark, folder)
 
     @property
     def _orders(self) -> DataFrame:
@@ -70,13 +70,9 @@ class Tables:
     def fact_reviews(self) -> DataFrame:
         return star_build.fact_reviews(self.raw["order_reviews"], self._orders)
 
-    @property
-    def star(self) -> dict[str, DataFrame]:
-        return star_build.build_star(self.raw)
-
 
-def _over(build: Callable[[Tables], DataFrame], numbered: bool = False) -> Query:
-    return lambda spark, folder: plain(build(Tables(spark, folder, numbered)))
+def _over(build: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, folder: plain(build(Tables(spark, folder)))
 
 
 def _as_csv(df: DataFrame, label: str) -> str:
@@ -97,20 +93,32 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def raw_reload(spark: SparkSession, folder: str) -> DataFrame:
-    """Load all nine CSV inputs twice into the raw layer; the second load replaces the first."""
+@cache
+def _loaded_root(spark: SparkSession, folder: str) -> str:
+    """A raw layer that was loaded twice; the second load replaces the first. Shared by the queries of a session."""
     paths = {t: _as_csv(df, t) for t, df in RawTables(spark, folder).items()}
     root = scratch_path(spark, "raw-layer")
     load_raw(spark, paths, root)
     load_raw(spark, paths, root)
-    return _counts(read_raw(spark, root))
+    return root
 
 
-def published_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the six tables as a reader of the published star finds them."""
+@cache
+def _published_root(spark: SparkSession, folder: str) -> str:
+    """A published star, shared by the queries of a session."""
     root = scratch_path(spark, "star")
     publish(spark, RawTables(spark, folder), root)
-    return _counts(read_star(spark, root))
+    return root
+
+
+def raw_reload(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the nine raw tables as a reader of the raw layer finds them."""
+    return _counts(read_raw(spark, _loaded_root(spark, folder)))
+
+
+def published_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the six tables as a reader of the published star finds them."""
+    return _counts(read_star(spark, _published_root(spark, folder)))
 
 
 def _lookup(by_status: bool) -> Query:
@@ -132,10 +140,19 @@ def _month_totals(by_month: bool) -> Query:
 def _published(table: str) -> Query:
     """A table of the published star, as its readers find it."""
 
+    return lambda spark, folder: plain(read_star(spark, _published_root(spark, folder))[table])
+
+
+def _reloaded(table: str) -> Query:
+    """A table of the raw layer, as its readers find it."""
+    return lambda spark, folder: plain(read_raw(spark, _loaded_root(spark, folder))[table])
+
+
+def _checked(check: Callable[[RawTables, dict[str, DataFrame]], DataFrame]) -> Query:
+    """A check of the published star, against the raw tables it was built from."""
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        root = scratch_path(spark, "star")
-        publish(spark, RawTables(spark, folder), root)
-        return plain(read_star(spark, root)[table])
+        return plain(check(RawTables(spark, folder), read_star(spark, _published_root(spark, folder))))
 
     return query
 
@@ -149,7 +166,7 @@ QUERIES: dict[str, Query] = {
     "dim_sellers": _over(lambda t: t.dim_sellers),
     "payment_rollup": _over(lambda t: star_build.payment_rollup(t.raw["order_payments"])),
     "fact_orders": _over(lambda t: t.fact_orders),
-    "fact_order_items": _over(lambda t: t.fact_order_items, numbered=True),
+    "fact_order_items": _over(lambda t: t.fact_order_items),
     "fact_reviews": _over(lambda t: t.fact_reviews),
     "monthly_revenue": _over(lambda t: analyses.monthly_revenue(t.fact_order_items, t.fact_orders, MONTHS)),
     "cohort_retention": _over(lambda t: analyses.retention(t.fact_orders)),
@@ -158,17 +175,17 @@ QUERIES: dict[str, Query] = {
     "rfm": _over(lambda t: analyses.rfm(t.fact_orders)),
     "review_delay": _over(lambda t: analyses.review_delay(t.fact_reviews)),
     "selective_lookup": _over(lambda t: analyses.orders_with_status(t.fact_orders)),
-    "check_orphans": _over(lambda t: quality.orphans(t.star)),
+    "check_orphans": _checked(lambda raw, star: quality.orphans(star)),
     "check_raw_orphans": _over(lambda t: quality.raw_orphans(t.raw)),
     "check_pair_unique": _over(lambda t: quality.review_pairs_unique(t.raw["order_reviews"])),
     "check_midnight": _over(lambda t: quality.estimates_at_midnight(t.raw["orders"])),
     "check_zip": _over(lambda t: quality.zip_prefixes(t.dim_customers)),
-    "check_reconcile": _over(lambda t: quality.reconciliation(t.raw, t.star)),
-    "check_row_counts": _over(lambda t: quality.row_counts(t.raw, t.star)),
+    "check_reconcile": _checked(quality.reconciliation),
+    "check_row_counts": _checked(quality.row_counts),
     "check_untranslated": _over(lambda t: quality.untranslated_categories(t.dim_products)),
     "check_out_of_window": _over(lambda t: quality.orders_outside_window(t.fact_orders, MONTHS)),
     "check_type1_cost": _over(lambda t: quality.cost_of_one_address(t.raw["customers"], "customer_city")),
-    "check_primary_keys": _over(lambda t: quality.primary_keys(t.star), numbered=True),
+    "check_primary_keys": _checked(lambda raw, star: quality.primary_keys(star)),
     "lookup_unpartitioned": _lookup(by_status=False),
     "lookup_partitioned": _lookup(by_status=True),
     "month_window_unpartitioned": _month_totals(by_month=False),
@@ -176,4 +193,5 @@ QUERIES: dict[str, Query] = {
     # The search for boundary rows, which larger tables than these need.
     "rfm_search": _over(lambda t: analyses.rfm(t.fact_orders, sample_rows=60, finish_rows=100)),
     **{f"published_{table}": _published(table) for table in STAR_TABLES},
+    **{f"reloaded_{table}": _reloaded(table) for table in RAW_DDL},
 }

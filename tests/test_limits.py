@@ -3,12 +3,16 @@
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from starloom.functions import fixed_values as fixed
 from starloom.functions.exact import rounded_days
+from starloom.operators.numbering import number_within
 from starloom.operators.quantiles import ntile_columns
 from starloom.plans.publish import load_raw, publish
 from starloom.session import REQUIRED
+from starloom.sources import store
 from starloom.sources.csv_files import read_csv
 
 DAY = 86_400_000_000
@@ -59,3 +63,52 @@ def test_sessions_that_hide_errors_are_refused(spark, tmp_path, key):
                 job()
     finally:
         spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("more", ["", '"two\nlines",x\n'])
+@pytest.mark.parametrize("record", ['a"b"c,1', '"ab"c,1', '1,a"b', 'a""b,1', '"a"b","c"', ' "a",1'])
+def test_quotes_inside_fields_stop_the_load(spark, tmp_path, more, record):
+    (tmp_path / "t.csv").write_text(f"h,i\n{record}\n{more}")
+    schema = spark.createDataFrame([], "a string, b string").schema
+    with pytest.raises(Exception, match="quote"):
+        read_csv(spark, schema, str(tmp_path / "t.csv")).collect()
+
+
+@pytest.mark.parametrize("more", ["", '"two\nlines",x\n'])
+def test_quotes_around_and_doubled_in_fields_are_read(spark, tmp_path, more):
+    (tmp_path / "t.csv").write_text('h,i\n"a"",""b","""c"""\n"",""""\n' + more)
+    schema = spark.createDataFrame([], "a string, b string").schema
+    got = read_csv(spark, schema, str(tmp_path / "t.csv")).collect()
+    assert {('a","b', '"c"'), ("", '"')} <= {tuple(r) for r in got}
+
+
+def test_business_values_are_the_agreed_ones():
+    assert fixed.REVENUE_EXCLUDED == ("canceled", "unavailable") and fixed.DELIVERED == "delivered"
+    assert fixed.REVENUE_MONTHS == ("2017-01-01", "2018-08-01") and fixed.DELAY_SHORT_MAX_DAYS == 5
+    labels = (fixed.DELAY_EARLY, fixed.DELAY_ON_DAY, fixed.DELAY_SHORT, fixed.DELAY_LONG, fixed.NO_CATEGORY)
+    assert labels == ("1_early", "2_on_estimated_day", "3_late_1to5d", "4_late_over_5d", "unknown")
+
+
+@pytest.mark.parametrize("hot_rows", [5000, 500, 20])
+def test_cells_grow_with_the_group_and_leave_positions_alone(spark, hot_rows):
+    df = spark.range(3000).select((F.col("id") % 3 > 0).cast("int").alias("k"), F.col("id").alias("v"))
+    spread = F.xxhash64("v")
+    got = number_within(df, ["k"], spread, "at", hot_rows=hot_rows)
+    want = df.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(spread, "k", "v")).cast("long"))
+    assert got.exceptAll(want).isEmpty() and got.count() == 3000
+
+
+def test_expiry_keeps_the_newest_runs_only(spark, tmp_path):
+    root = str(tmp_path)
+    runs = [store.new_run(root) for _ in range(4)]
+    for run in runs:
+        spark.range(3).write.parquet(f"{run}/t")
+    for run in runs[:3]:  # the last has failed
+        store.announce(spark, root, run)
+    assert len(store.expire(spark, root, keep=2)) == 2
+    assert spark.read.parquet(f"{store.current_run(spark, root, 2)[1]}/t").count() == 3
+    store.expire(spark, root)
+    assert [p.name for p in (tmp_path / "runs").iterdir()] == [runs[2].rsplit("/", 1)[-1]]
+    assert store.current_run(spark, root) == (3, runs[2])
+    with pytest.raises(ValueError):
+        store.expire(spark, root, keep=0)

@@ -9,7 +9,7 @@ from verify_local import TABLES, _rows
 
 CHEAP = [
     "fact_orders", "fact_order_items", "fact_reviews", "monthly_revenue", "cohort_retention", "top_sellers",
-    "late_rate", "rfm", "rfm_search", "published_fact_reviews", "review_delay", "check_orphans", "check_primary_keys", "csv_order_reviews",
+    "late_rate", "rfm", "rfm_search", "published_fact_reviews", "reloaded_orders", "reloaded_order_items", "review_delay", "check_orphans", "check_primary_keys", "csv_order_reviews",
 ]
 
 
