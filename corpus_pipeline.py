@@ -13,7 +13,7 @@ from starloom.llm.common import fresh, read_table, ship_package
 from starloom.llm.harmonic import harmonic_packing
 from starloom.llm.importance import importance_resample
 from starloom.llm.language import learn, predicted
-from starloom.llm.pfair import mix_sources
+from starloom.llm.pfair import mix_to_end
 from starloom.llm.simhash import simhash_groups
 from starloom.scratch import staged
 
@@ -69,9 +69,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in the mix, written in the order of their slots."""
+    """Keeps all documents, written in the order of their slots in a mix that goes on until every source is out."""
     ship_package(spark)
-    mix = mix_sources(docs).filter("in_mix").groupBy("doc_id", "tie").agg(F.min("slot").alias("slot"))
+    mix = mix_to_end(docs).groupBy("doc_id", "tie").agg(F.min("slot").alias("slot"))
     kept, own = _only(docs, staged(mix, "pipeline-mix"), "slot")
     slot = own["slot"]
     return kept.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").drop(slot)

@@ -17,6 +17,7 @@ from starloom.scratch import staged
 
 PERIOD = 1000
 MAX_SOURCES = 10_000
+MAX_PLANNED = 200_000
 BLOCK_BYTES = 1 << 16
 
 
@@ -118,6 +119,19 @@ def period_table(spark: SparkSession, shares: dict) -> DataFrame:
     return spark.createDataFrame(rows, "period_source string, share long, nth long, period_slot long")
 
 
+def _sources(docs: DataFrame, weights: dict | None, temperature: float, block_bytes: int, *columns: str) -> tuple[DataFrame, dict, dict]:
+    """The written ``source_blocks``, the number of blocks of each source, and the weights of the sources that have one."""
+    blocks = staged(source_blocks(docs, block_bytes, *columns), "pfair-blocks")
+    by_source = blocks.groupBy("source").agg(F.sum("size").alias("bytes"), F.ceil(F.sum("size") / block_bytes).alias("blocks"))
+    found = by_source.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    if weights is None:
+        weights = tempered({r.source: r.bytes for r in found}, temperature)
+    wanted = {r.source: weights[r.source] for r in found if weights.get(r.source, 0) > 0}
+    return blocks, {r.source: r.blocks for r in found}, wanted
+
+
 def mix_sources(
     docs: DataFrame, weights: dict | None = None, temperature: float = 2.0, block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", period: int = PERIOD,
@@ -136,14 +150,7 @@ def mix_sources(
     with equal ids follow each other by ``tie``; null ids come first. Other columns are not read. An empty table gives an
     empty result.
     """
-    blocks = staged(source_blocks(docs, block_bytes, id_col, text_col, source_col), "pfair-blocks")
-    by_source = blocks.groupBy("source").agg(F.sum("size").alias("bytes"), F.ceil(F.sum("size") / block_bytes).alias("blocks"))
-    found = by_source.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights is None:
-        weights = tempered({r.source: r.bytes for r in found}, temperature)
-    wanted = {r.source: weights[r.source] for r in found if weights.get(r.source, 0) > 0}
+    blocks, found, wanted = _sources(docs, weights, temperature, block_bytes, id_col, text_col, source_col)
     shares = whole_shares(wanted, period) if wanted else {}
     length = sum(shares.values())
     table = staged(period_table(blocks.sparkSession, shares), "pfair-period")
@@ -157,9 +164,66 @@ def mix_sources(
     slot = F.floor(F.col("block") / F.col("share")) * length + F.col("period_slot")
     # The first block that a source does not have, in slots: the mix ends before the earliest of them.
     place = {(source, nth): slot for slot, source, nth in schedule(shares)}
-    ends = [r.blocks // shares[r.source] * length + place[r.source, r.blocks % shares[r.source]] for r in found if r.source in shares]
+    ends = [found[s] // share * length + place[s, found[s] % share] for s, share in shares.items()]
     horizon = F.lit(min(ends, default=0))
     return slotted.select(
         F.col("id").alias(id_col), "tie", "source", "size", "block", slot.cast("long").alias("slot"),
         F.coalesce(slot < horizon, F.lit(False)).alias("in_mix"),
     )
+
+
+def phases(weights: dict, blocks: dict, period: int = PERIOD, most: int = MAX_PLANNED) -> tuple[list[tuple], list[tuple]]:
+    """The mix of all blocks. A phase ends where a source has no block left; the others share the next by their weights alone.
+
+    Returns per phase and source that has blocks in it (phase, source, its first block, the first after, share, first slot
+    of the phase, length of its period), and the slots of one period of each phase (phase, source, block from 0, slot).
+    Slots follow each other without gaps. Phases are planned until ``most`` slots are; the phase then reached
+    has no end, and sources that run out leave their slots in it empty.
+    """
+    spans, slots, done, first, phase = [], [], dict.fromkeys(weights, 0), 0, 0
+    while live := {s: w for s, w in weights.items() if done[s] < blocks[s]}:
+        shares = whole_shares(live, period)
+        length, plan = sum(shares.values()), schedule(shares)
+        place = {(source, nth): slot for slot, source, nth in plan}
+        rest = {s: blocks[s] - done[s] for s in live}
+        end = min(n // shares[s] * length + place[s, n % shares[s]] for s, n in rest.items())
+        taken = {s: end // length * share for s, share in shares.items()}
+        for _, source, _ in plan[: end % length]:
+            taken[source] += 1
+        if len(slots) + min(end, length) >= most:
+            taken, end = rest, length
+        slots += [(phase, source, nth, slot) for slot, source, nth in plan[:end]]
+        spans += [(phase, s, done[s], done[s] + n, shares[s], first, length) for s, n in taken.items() if n]
+        done = {s: n + taken.get(s, 0) for s, n in done.items()}
+        first, phase = first + end, phase + 1
+    return spans, slots
+
+
+def mix_to_end(
+    docs: DataFrame, weights: dict | None = None, temperature: float = 2.0, block_bytes: int = BLOCK_BYTES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", period: int = PERIOD,
+) -> DataFrame:
+    """``mix_sources`` carried on to the last block: the id, ``tie``, ``source``, ``size``, ``block`` and ``slot``.
+
+    Up to the first slot that a source would leave empty the slots are those of ``mix_sources``. From there the
+    other sources go on at their weights, rescaled among themselves, until the next one is out, and so on to the end (see
+    ``phases``); within a phase each source's number of blocks differs from its target by less than one. Every row whose
+    source has a weight has a slot; the others have none. What is planned on the driver does not grow with the rows:
+    beyond ``MAX_PLANNED`` slots the schedule reached serves all that is left, with empty slots passed over.
+    """
+    blocks, found, wanted = _sources(docs, weights, temperature, block_bytes, id_col, text_col, source_col)
+    spans, slots = phases(wanted, found, period)
+    spark = blocks.sparkSession
+    spans_schema = "phase long, of string, low long, high long, share long, first long, length long"
+    spans = F.broadcast(staged(spark.createDataFrame(spans, spans_schema), "pfair-spans"))
+    table = staged(spark.createDataFrame(slots, "in_phase long, period_source string, nth long, period_slot long"), "pfair-period")
+    of_period = F.broadcast(table) if len(slots) <= 100 * PERIOD else table
+    in_span = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high"))
+    spanned = blocks.join(spans, in_span, "left").withColumn("own", F.col("block") - F.col("low"))
+    same = (
+        F.col("source").eqNullSafe(F.col("period_source")) & (F.col("phase") == F.col("in_phase"))
+        & (F.col("own") % F.col("share") == F.col("nth"))
+    )
+    slot = F.col("first") + F.floor(F.col("own") / F.col("share")) * F.col("length") + F.col("period_slot")
+    slotted = spanned.join(of_period, same, "left")
+    return slotted.select(F.col("id").alias(id_col), "tie", "source", "size", "block", slot.cast("long").alias("slot"))

@@ -11,7 +11,7 @@ from starloom.llm.common import read_table
 from starloom.llm.importance import dividing_weight, importance_resample, log_ratios
 from starloom.llm.language import WINDOW, Network, identify_languages, learn, windows_of
 from starloom.llm.ngrams import hashed_ngrams
-from starloom.llm.pfair import mix_sources, schedule, whole_shares
+from starloom.llm.pfair import mix_sources, mix_to_end, phases, schedule, whole_shares
 from tests.conftest import SMALL
 from tests.llm.conftest import ODD_ROWS
 
@@ -192,3 +192,51 @@ def test_mix_of_odd_rows(odd, nothing):
     assert len(rows) == len(ODD_ROWS) and {r.source for r in rows} == {None, "a", "b"}
     assert all(r.slot is not None for r in rows) and any(r.in_mix for r in rows)
     assert mix_sources(nothing).collect() == []
+
+
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.tuples(st.floats(1e-2, 1e2), st.integers(1, 200)), min_size=1, max_size=9))
+def test_phases_give_every_block_a_slot_and_keep_the_rescaled_weights(sources):
+    weights, blocks = ({s: v[i] for s, v in sources.items()} for i in (0, 1))
+    spans, slots = phases(weights, blocks, 40)
+    period = {(p, s, nth): slot for p, s, nth, slot in slots}
+    mix = {}
+    for p, s, low, high, share, first, length in spans:
+        for b in range(low, high):
+            at = first + (b - low) // share * length + period[p, s, (b - low) % share]
+            assert mix.setdefault(at, (s, b, p)) == (s, b, p)
+    assert sorted(mix) == list(range(sum(blocks.values())))
+    assert sorted((s, b) for s, b, _ in mix.values()) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    left, last = Counter(blocks), None
+    for at in sorted(mix):
+        s, b, p = mix[at]
+        if p != last:
+            shares, done, last = whole_shares({x: weights[x] for x in weights if left[x]}, 40), Counter(), p
+        done[s] += 1
+        left[s] -= 1
+        total, length = sum(done.values()), sum(shares.values())
+        assert all(abs(done[x] * length - total * n) < length for x, n in shares.items())
+    few, kept = phases(weights, blocks, 40, most=1)  # one schedule for all
+    assert {x[0] for x in few} == {0} and len(kept) == max(40, 10 * len(weights))
+    assert sorted((s, low, high) for _, s, low, high, *_ in few) == sorted((s, 0, n) for s, n in blocks.items())
+
+
+def test_mix_goes_on_after_a_source_is_out(documents, texts):
+    held = Counter()
+    for r in documents.collect():
+        held[r.source] += len(texts[r.doc_id].encode()) + 1
+    weights = {s: 1 + i for i, s in enumerate(sorted(held))}
+    cut = {r.doc_id: r for r in mix_sources(documents, weights, block_bytes=2000).collect()}
+    rows = mix_to_end(documents.repartition(5), weights, block_bytes=2000).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and all(r.slot is not None for r in rows)
+    assert all(r.slot == cut[r.doc_id].slot for r in rows if cut[r.doc_id].in_mix)
+    horizon = max(r.slot for r in cut.values() if r.in_mix)
+    assert all(r.slot > horizon or cut[r.doc_id].in_mix for r in rows) and len(cut) > sum(r.in_mix for r in cut.values())
+    assert len({(r.source, r.block) for r in rows}) == len({r.slot for r in rows})
+    assert max(r.slot for r in rows) < sum(-(-n // 2000) for n in held.values())
+
+
+def test_whole_mix_of_odd_rows(odd, nothing):
+    rows = mix_to_end(odd, block_bytes=64).collect()
+    assert len(rows) == len(ODD_ROWS) and all(r.slot is not None for r in rows)
+    assert {r.source for r in mix_to_end(odd, {"a": 1}, block_bytes=64).collect() if r.slot is not None} == {"a"}
+    assert mix_to_end(nothing).collect() == []

@@ -58,6 +58,25 @@ def test_mixed_documents_are_written_in_the_order_of_their_slots(spark, document
     assert order == sorted(order)
 
 
+def test_mixing_keeps_documents_after_the_smallest_source_is_out(spark):
+    rows = [(i, f"document {i} " * 3000, "en", "large", 7) for i in range(200)] + [(1000, "the only one", "en", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `SHARD` int").repartition(3)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in mixed) == sorted(r[0] for r in rows)
+    assert not all(r.in_mix for r in mix_sources(docs).collect())
+
+
+def test_pipeline_packs_every_document_that_reaches_the_mix(spark, documents):
+    kept = documents
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = staged(stage(spark, kept, SMALL), "test")
+    columns = ["doc_id", "start", "length", "ids_crc32"]
+    mixed = corpus_pipeline.mixing_stage(spark, kept, SMALL)
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, kept.collect()))
+    want = sorted(map(tuple, harmonic_packing(kept, "word_bpe_49k.json", 2).select(columns).collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select(columns).collect())) == want
+
+
 def test_one_of_each_group_stays_of_odd_rows(spark, odd):
     kept = corpus_pipeline.near_duplicate_stage(spark, odd, SMALL)
     assert kept.columns == odd.columns
