@@ -1,5 +1,6 @@
 """Sharding by fixed virtual slots and a stored, versioned map from slots to shards. DataFrame operations only."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,16 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.filter(F.col("version") == wanted)
 
 
+def latest_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version at ``path``, None if nothing is stored there."""
+    try:
+        return read_map(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def placed_rows(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, their place in it from 0, without gaps, by virtual slot and hash.
 
@@ -128,7 +139,8 @@ def virtual_shards(
 ) -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal bytes, by the latest map at ``map_path``.
 
-    Without a map there, a first one is made from the bytes of the slots and stored; see ``edited_map`` to rebalance.
+    Without a map there, a first one is made from the bytes of the slots and stored. A map that is there is edited
+    (see ``edited_map``) for the bytes and the number of shards; a new version is stored only if a slot changes its shard.
     One row per row of ``docs``: the id, ``size``, ``text_crc32`` (of the UTF-8 bytes, unsigned), ``shard``, ``slot`` (its
     place in the shard, from 0, without gaps), ``virtual_slot`` and ``map_version``. Texts are read where they lie;
     only sizes and hashes are shuffled.
@@ -137,7 +149,13 @@ def virtual_shards(
     are not read. An empty table gives an empty result and a map that deals the slots out in turn.
     """
     rows = staged(with_slots(docs, id_col, text_col, slots), "slot-rows")
-    store_map(edited_map(slot_bytes(rows), shards, slots=slots), map_path)
+    old = latest_map(docs.sparkSession, map_path)
+    if old is not None and (n := old.count()) != slots:
+        raise ValueError(f"the map at {map_path} has {n} slots, not {slots}")
+    edited = staged(edited_map(slot_bytes(rows), shards, old, slots), "slot-map-edited")
+    was = None if old is None else old.select("virtual_slot", F.col("shard").alias("was"))
+    if was is None or not edited.join(was, "virtual_slot").filter(F.col("shard") != F.col("was")).isEmpty():
+        store_map(edited, map_path)
     slot_map = read_map(docs.sparkSession, map_path)
     version = slot_map.agg(F.max("version")).first()[0]
     return placed_rows(rows, slot_map, slots).select(

@@ -141,3 +141,22 @@ def test_rebalancing_makes_a_new_version(spark, documents):
     assert {r.shard for r in fewer.collect()} == set(range(5)) and fewer.first().version == 2
     unchanged = edited_map(sizes, 5, fewer, slots=512).collect()
     assert {r.virtual_slot: r.shard for r in unchanged} == {r.virtual_slot: r.shard for r in fewer.collect()}
+
+
+def test_shards_follow_the_stored_map(spark, documents, texts):
+    path = scratch_path(spark, "map")
+
+    def placed(shards):
+        rows = virtual_shards(documents, shards, path, slots=512).collect()
+        check_shards(rows, list(texts.items()), shards)
+        maps = Counter(r.version for r in spark.read.parquet(path).collect())
+        assert set(maps.values()) == {512} and {r.map_version for r in rows} == {max(maps)}
+        return {r.doc_id: r.shard for r in rows}, len(maps)
+
+    first, again, grown, fewer = placed(6), placed(6), placed(7), placed(5)
+    assert first[1] == 1 and again == first
+    moved = {d for d in first[0] if first[0][d] != grown[0][d]}
+    assert grown[1] == 2 and moved and {grown[0][d] for d in moved} == {6}
+    assert fewer[1] == 3 and set(fewer[0].values()) == set(range(5))
+    with pytest.raises(ValueError, match="512 slots"):
+        virtual_shards(documents, 5, path, slots=64)
