@@ -71,9 +71,9 @@ def test_pipeline_packs_every_document_that_reaches_the_mix(spark, documents):
     for _, stage in corpus_pipeline.STAGES[:3]:
         kept = staged(stage(spark, kept, SMALL), "test")
     columns = ["doc_id", "start", "length", "ids_crc32"]
-    mixed = corpus_pipeline.mixing_stage(spark, kept, SMALL)
+    mixed = staged(corpus_pipeline.mixing_stage(spark, kept, SMALL), "test")
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, kept.collect()))
-    want = sorted(map(tuple, harmonic_packing(kept, "word_bpe_49k.json", 2).select(columns).collect()))
+    want = sorted(map(tuple, harmonic_packing(mixed, "word_bpe_49k.json", 2).select(columns).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select(columns).collect())) == want
 
 
