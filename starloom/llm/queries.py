@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from starloom.llm.best_position import lexical_search
+from starloom.llm.bisection import target_resample
 from starloom.llm.common import read_table, ship_package
 from starloom.llm.harmonic import harmonic_packing
 from starloom.llm.importance import importance_resample
 from starloom.llm.language import identify_languages
-from starloom.llm.oracle import EMBEDDING_GROUPS, PFAIR_MIX
+from starloom.llm.line_runs import dedup_lines
+from starloom.llm.oracle import BEST_POSITION, BISECTION, EMBEDDING_GROUPS, LINE_RUNS, PFAIR_MIX
 from starloom.llm.pfair import mix_sources
 from starloom.llm.rotation_codes import embedding_groups
 from starloom.llm.simhash import simhash_groups
@@ -72,6 +75,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), WORDS)
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(read_table(spark, sf_dir, "documents"), scratch_path(spark, "line-runs"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -82,10 +100,13 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 _ALL = (
     op1_syncmers, op2_rotation_codes, op3_virtual_slots, op4_importance, op5_pfair, op6_simhash, op7_harmonic,
-    op8_language, op9_wavelet, op10_token_counts,
+    op8_language, op9_wavelet, op10_token_counts, op11_best_position, op12_bisection, op13_line_runs,
 )
 
 QUERIES = {query.__name__: _shipped(query) for query in _ALL} | {"pipeline": corpus_pipeline.run}
 
 #: Without SQL, and tested against brute force: what needs xxHash64, crc32, tokenizers or a trained model.
-ORACLE = {"op2_rotation_codes": EMBEDDING_GROUPS, "op5_pfair": PFAIR_MIX}
+ORACLE = {
+    "op2_rotation_codes": EMBEDDING_GROUPS, "op5_pfair": PFAIR_MIX, "op11_best_position": BEST_POSITION,
+    "op12_bisection": BISECTION, "op13_line_runs": LINE_RUNS,
+}
