@@ -1,6 +1,7 @@
 """Small helpers shared by the operators."""
 
 import contextlib
+import ctypes
 import functools
 import tempfile
 import zipfile
@@ -38,6 +39,13 @@ def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release_memory() -> None:
+    """Hand what is free in this Python worker back to the system: workers outlive the stage that filled them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,12 +8,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import arrow_batches, arrow_schema, ddl, running_before
+from starloom.llm.common import arrow_batches, arrow_schema, ddl, release_memory, running_before
 from starloom.llm.tokens import encoder
 from starloom.scratch import staged
 
 CAPACITY = 4096
-TEXT_AT_ONCE = 6 << 20  # bytes; a worker stays small beside an executor whose heap earlier stages have filled
+TEXT_AT_ONCE = 2 << 20  # bytes; a worker stays small beside an executor whose heap earlier stages have filled
 
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -97,6 +97,7 @@ def harmonic_packing(
                 if len(out) >= 4096:
                     yield emitted(out)
                     out = []
+            release_memory()
         out += [(*p[:7], None, n, p[7]) for waiting in open_bins.values() for n, p in enumerate(waiting)]
         if out:
             yield emitted(out)
