@@ -130,8 +130,8 @@ def importance_resample(
     ``size`` as many stay as have a weight on the target's side of the other labelled documents (see ``dividing_weight``).
 
     Returns per row the id, ``tie`` (a hash of the text), ``log_weight``, ``gumbel_weight``, ``rank`` (from 0) and ``kept``.
-    A null text counts as empty and weighs 0. Null ids match no label. Rows with equal ids are weighed as rows of their own
-    with the same noise; equal sums are ranked by id and ``tie``. Other columns are not read. Without labels of the target
+    A null text counts as empty and weighs 0. Null ids match no label and draw their noise from the text's hash. Rows with
+    equal ids are weighed as rows of their own with the same noise, so that a document is drawn or not whichever of its versions it is; equal sums are ranked by id and ``tie``. Other columns are not read. Without labels of the target
     all weights are 0 and, unless ``size`` says otherwise, all rows stay. An empty table gives an empty result.
     """
     sample = staged(labelled_sample(labels, id_col, label_col, labelled), "importance-labels")
@@ -142,7 +142,8 @@ def importance_resample(
     )
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         every, target = ngram_counts(rows, buckets)
-    uniform = (F.xxhash64(F.lit("gumbel"), F.col("id").cast("string")).cast("double") + 2.0**63 + 1024) / (2.0**64 + 4096)
+    drawn_from = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("tie").cast("string")))
+    uniform = (F.xxhash64(F.lit("gumbel"), drawn_from).cast("double") + 2.0**63 + 1024) / (2.0**64 + 4096)
     gumbel = F.col("log_weight") - F.log(-F.log(uniform))
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         sums = staged(weighted(rows, log_ratios(every, target)).withColumn("gumbel_weight", gumbel), "importance-weights")

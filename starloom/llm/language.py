@@ -15,7 +15,7 @@ DEPTH, FILTERS = 8, 12
 PLACES = WINDOW - max(WIDTHS) + 1
 AT_ONCE = 32  # windows, so that what is in work stays in the cache
 
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 10_000  # beyond it learning stops with an error: so many values are no languages
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 6
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
@@ -30,7 +30,10 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    """Embedded bytes, filters of several widths, the maximum of each over a window, and softmax over languages."""
+    """Embedded bytes, filters of several widths, the maximum of each over a window, and softmax over languages.
+
+    The last class is none of the languages; it has no name and is never predicted, but takes its part of the probability.
+    """
 
     languages: list[str]
     embedding: np.ndarray
@@ -52,8 +55,8 @@ class Network:
             drawn(256, DEPTH, scale=0.5),
             {w: drawn(w * DEPTH, FILTERS, scale=(w * DEPTH) ** -0.5) for w in WIDTHS},
             {w: np.zeros(FILTERS, np.float32) for w in WIDTHS},
-            drawn(len(WIDTHS) * FILTERS, len(languages), scale=0.1),
-            np.zeros(len(languages), np.float32),
+            drawn(len(WIDTHS) * FILTERS, len(languages) + 1, scale=0.1),
+            np.zeros(len(languages) + 1, np.float32),
         )
 
     def parameters(self) -> list[np.ndarray]:
@@ -80,10 +83,10 @@ class Network:
         return self.tables
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """Per window a probability for each language."""
+        """Per window a probability for each language, and for none of them."""
         heads, tails = self._pair_tables()
         biases = np.concatenate(list(self.biases.values()))
-        out = np.empty((len(windows), len(self.languages)), np.float32)
+        out = np.empty((len(windows), len(self.languages) + 1), np.float32)
         for low in range(0, len(windows), AT_ONCE):
             some = windows[low : low + AT_ONCE].astype(np.int32)
             pair = some[:, :-1] * 256 + some[:, 1:]
@@ -101,7 +104,7 @@ class Network:
         windows, counts = windows_of(texts)
         starts = np.cumsum(counts) - counts
         means = np.add.reduceat(self.probabilities(windows).astype(np.float64), starts, axis=0) / counts[:, None]
-        best = means.argmax(axis=1)
+        best = means[:, :-1].argmax(axis=1)
         return [self.languages[b] for b in best], np.minimum(means[np.arange(len(texts)), best], 1.0)
 
     def _gradients(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
@@ -150,6 +153,27 @@ class Network:
         return self
 
 
+def strange_windows(windows: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
+    """Windows that are in none of the languages of ``windows``: bytes drawn as often as they occur but in no order, letters and
+    letters with digits drawn evenly, and characters drawn from a part of Unicode that does not occur."""
+    random = np.random.default_rng(seed)
+    seen = {ord(c) >> 7 for c in windows.tobytes().decode("utf-8", "ignore")}
+    unseen = [b for b in range(1, 0x1B0) if b not in seen and all(chr(b << 7 | c).isalpha() for c in (32, 80))]
+    lower, every = b"abcdefghijklmnopqrstuvwxyz    ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    out = []
+    for n in range(size):
+        if n % 4 == 0:
+            own = random.permutation(windows[random.integers(len(windows))]).tobytes()
+        elif n % 4 == 3 and unseen:
+            block = int(random.choice(unseen)) << 7
+            own = "".join(map(chr, block + random.integers(0, 128, WINDOW))).encode("utf-8", "ignore")
+            own = bytes(b if b else 32 for b in own)
+        else:
+            own = bytes(random.choice(list(lower if n % 4 == 1 else every), WINDOW).tolist())
+        out.append(own[:WINDOW].ljust(WINDOW, b"\0"))
+    return np.frombuffer(b"".join(out), np.uint8).reshape(-1, WINDOW)
+
+
 def held_out(id_col: str):
     """Whether the id, as text, has a checksum of 2 modulo 4; a null id has none and is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -165,7 +189,8 @@ def learn(
 ) -> Network | None:
     """A network trained on at most ``docs_per_language`` documents of each language, ``WINDOWS_PER_DOC`` windows each.
 
-    Languages are the values of ``lang_col``, the ``MAX_LANGUAGES`` most frequent ones if there are more. Only documents
+    Languages are the values of ``lang_col``; more than ``MAX_LANGUAGES`` raise a ValueError. As many windows as a language has
+    on average are made up that belong to none of them (``strange_windows``). Only documents
     that are not held out and have a letter are looked at; they are chosen by a hash of the id, their windows are spread
     over the whole text. This sample is all that reaches the driver. None if there is nothing to learn from.
     """
@@ -173,10 +198,12 @@ def learn(
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & has_letter(text_col)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread.alias("spread")
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1)
     counts = sorted((r.lang, r.n) for r in counts.collect())
     if not counts:
         return None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # Twice as many as wanted by the hash alone, so that few rows meet in the window that takes the exact number.
     limits = F.create_map(
         *[F.lit(x) for lang, n in counts for x in (lang, int(-(2**63) + 2**64 * min(1, 2 * docs_per_language / n)) - 1)]
@@ -201,6 +228,9 @@ def learn(
     languages = [lang for lang, _ in counts]
     labels = np.array([languages.index(lang) for lang, _ in rows])
     windows = np.frombuffer(b"".join(bytes(b) for _, b in rows), np.uint8).reshape(-1, WINDOW)
+    strange = strange_windows(windows, -(-len(windows) // len(languages)))
+    labels = np.concatenate([labels, np.full(len(strange), len(languages))])
+    windows = np.concatenate([windows, strange])
     return Network.start(languages).train(windows, labels)
 
 

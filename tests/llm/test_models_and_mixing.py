@@ -3,10 +3,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from starloom.llm import language
+import corpus_pipeline
+from starloom.llm import language, pfair
 from starloom.llm.common import read_table
 from starloom.llm.importance import dividing_weight, importance_resample, log_ratios
 from starloom.llm.language import WINDOW, Network, identify_languages, learn, windows_of
@@ -26,7 +29,7 @@ def test_windows_cover_whole_texts():
 
 def test_gradients_and_pair_tables():
     random = np.random.default_rng(0)
-    network = Network.start(["a", "b", "c"])
+    network = Network.start(["a", "b"])  # and a class for none of them
     for p in network.parameters():
         p += random.standard_normal(p.shape).astype(np.float32) * 0.05
     windows = random.integers(0, 256, (4, WINDOW)).astype(np.uint8)
@@ -144,68 +147,53 @@ def test_importance_of_odd_rows(spark, odd, nothing):
     assert importance_resample(nothing, labels).collect() == []
 
 
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(1e-3, 1e3), min_size=1, max_size=12), st.integers(1, 90))
-def test_schedule_keeps_every_source_within_one_block(weights, period):
-    shares = whole_shares(weights, period)
-    length, done = sum(shares.values()), Counter()
-    assert set(shares) == set(weights) and min(shares.values()) >= 1 and length == max(period, 10 * len(weights))
-    for at, (slot, source, block) in enumerate(schedule(shares)):
-        assert (slot, block) == (at, done[source])
-        assert block * length // shares[source] <= slot < -(-(block + 1) * length // shares[source])
-        done[source] += 1
-        assert all(abs(done[s] * length - (slot + 1) * shares[s]) < length for s in shares)
-    assert done == shares
+def test_null_ids_draw_noise_of_their_own(spark):
+    rows = [(None if i % 3 else i, f"text number {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = importance_resample(docs, read_table(spark, SMALL, "labels"), size=100).collect()
+    assert len({r.gumbel_weight - r.log_weight for r in out if r.doc_id is None}) == 200
+    assert 20 < sum(r.kept and r.doc_id is None for r in out) < 100
 
 
-def check_mix(rows, sizes, shares, block_bytes):
-    """Blocks follow the running sizes, slots the schedule, and the mix ends where the first source does."""
-    length = sum(shares.values())
-    place = {(s, n): slot for slot, s, n in schedule(shares)} if shares else {}
-    held = Counter()
-    for r in rows:
-        held[r.source] += r.size
-        assert r.size == sizes[r.doc_id]
-        if r.source in shares:
-            assert r.slot == r.block // shares[r.source] * length + place[r.source, r.block % shares[r.source]]
-        else:
-            assert r.slot is None and not r.in_mix
-    ends = []
-    for s, share in shares.items():
-        blocks = -(-held[s] // block_bytes)
-        ends.append(blocks // share * length + place[s, blocks % share])
-    assert all(r.in_mix == (r.slot < min(ends)) for r in rows if r.slot is not None)
-    for source in held:
-        own = sorted((r.block, r.size) for r in rows if r.source == source)
-        assert own[0][0] == 0 and own[-1][0] <= held[source] // block_bytes
-
-
-def test_mix_of_documents(documents, texts):
-    sizes = {d: len(t.encode()) + 1 for d, t in texts.items()}
-    weights = {f"src{i}": 1 + i for i in range(19)}
-    rows = mix_sources(documents.repartition(5), weights, block_bytes=2000, period=200).collect()
-    check_mix(rows, sizes, whole_shares(weights, 200), 2000)
-    assert any(r.in_mix for r in rows) and {r.source for r in rows if r.slot is None} == {"src19"}
-
-
-def test_mix_of_odd_rows(odd, nothing):
-    rows = mix_sources(odd, block_bytes=64).collect()
-    assert len(rows) == len(ODD_ROWS) and {r.source for r in rows} == {None, "a", "b"}
-    assert all(r.slot is not None for r in rows) and any(r.in_mix for r in rows)
-    assert mix_sources(nothing).collect() == []
+def test_junk_scores_low_and_prose_high(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    network, random = learn(docs), np.random.default_rng(3)
 
+    def drawn(letters, n=300):
+        letters = list(letters)
+        return ["".join(random.choice(letters, 1500)).encode() for _ in range(n)]
 
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.tuples(st.floats(1e-2, 1e2), st.integers(1, 200)), min_size=1, max_size=9))
-def test_phases_give_every_block_a_slot_and_keep_the_rescaled_weights(sources):
-    weights, blocks = ({s: v[i] for s, v in sources.items()} for i in (0, 1))
-    spans, slots = phases(weights, blocks, 40)
-    period = {(p, s, nth): slot for p, s, nth, slot in slots}
+    junk = {
+        "letters": drawn("abcdefghijklmnopqrstuvwxyz "), "cjk": drawn(map(chr, range(0x4E00, 0x5200))),
+        "cyrillic": drawn([*map(chr, range(0x430, 0x450)), " "]), "greek": drawn([*map(chr, range(0x3B1, 0x3CA)), " "]),
+        "base64": drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    }
+    for name, texts in junk.items():
+        assert np.mean(network.predict(texts)[1] < corpus_pipeline.LEAST_SCORE) > 0.9, (name, network.predict(texts)[1][:9])
+    prose = [r.text.encode() for r in docs.filter(language.held_out("doc_id") & (F.length("text") > 300)).collect()]
+    assert np.mean(network.predict(prose)[1] >= corpus_pipeline.LEAST_SCORE) > 0.99
+
+
+def whole_mix(weights, blocks, period):
+    """All slots of the phases: slot -> (source, block, phase); every block has been between its release and its deadline."""
     mix = {}
-    for p, s, low, high, share, first, length in spans:
-        for b in range(low, high):
-            at = first + (b - low) // share * length + period[p, s, (b - low) % share]
-            assert mix.setdefault(at, (s, b, p)) == (s, b, p)
+    for spans, slots in phases(weights, blocks, period):
+        places = {(s, nth): slot for _, s, nth, slot in slots}
+        for phase, s, low, high, share, first, length in spans:
+            for own in range(high - low):
+                at = own // share * length + places[s, own % share]
+                # Within these dates a source is within less than one block of its share at every slot.
+                assert own * length // share <= at < -(-(own + 1) * length // share)
+                assert mix.setdefault(first + at, (s, low + own, phase)) == (s, low + own, phase)
     assert sorted(mix) == list(range(sum(blocks.values())))
     assert sorted((s, b) for s, b, _ in mix.values()) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    return mix
+
+
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.tuples(st.floats(1e-2, 1e2), st.integers(1, 200)), min_size=1, max_size=9))
+def test_phases_give_every_block_a_slot_and_keep_the_rescaled_weights(sources):
+    weights, blocks = ({s: v[i] for s, v in sources.items()} for i in (0, 1))
+    mix = whole_mix(weights, blocks, 40)
     left, last = Counter(blocks), None
     for at in sorted(mix):
         s, b, p = mix[at]
@@ -215,9 +203,46 @@ def test_phases_give_every_block_a_slot_and_keep_the_rescaled_weights(sources):
         left[s] -= 1
         total, length = sum(done.values()), sum(shares.values())
         assert all(abs(done[x] * length - total * n) < length for x, n in shares.items())
-    few, kept = phases(weights, blocks, 40, most=1)  # one schedule for all
-    assert {x[0] for x in few} == {0} and len(kept) == max(40, 10 * len(weights))
-    assert sorted((s, low, high) for _, s, low, high, *_ in few) == sorted((s, 0, n) for s, n in blocks.items())
+
+
+@pytest.mark.parametrize("sources, most", [(400, 1000), (2000, 60)])
+def test_many_sources_keep_their_dates_to_the_end(sources, most):
+    random = np.random.default_rng(sources)
+    blocks = {f"s{i}": int(n) for i, n in enumerate(random.integers(1, most, sources))}
+    whole_mix({s: n**0.5 for s, n in blocks.items()}, blocks, 1000)
+
+
+def test_more_sources_than_entries(spark):
+    """20,000 sources: small ones share entries, in which each has its weight's worth to within less than one block."""
+    rows = [(i, "x" * (40 + i * 37 % 200), f"s{i % 19_990}" if i % 3 else "large") for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mix_to_end(docs, block_bytes=64, most=100).collect()
+    assert len(out) == len(rows) and all(r.slot is not None for r in out)
+    held = Counter()
+    for _, text, source in rows:
+        held[source] += len(text) + 1
+    blocks = {s: -(-n // 64) for s, n in held.items()}
+    slots = {(r.source, r.block): r.slot for r in out}
+    assert len(set(slots.values())) == len(slots) and max(slots.values()) < sum(blocks.values())
+    grouped, found, wanted = pfair._scheduled(docs, None, 2.0, 64, ("doc_id", "text", "source"), 100)
+    assert len(found) == len(wanted) == 100 and sum(found.values()) == sum(blocks.values())
+    entry = {(r.source, r.block): (r.entry, r.nth_of_entry) for r in grouped.collect()}
+    group = min(e for e, _ in entry.values() if e.startswith("\0"))
+    inside = sorted((nth, s, b) for (s, b), (e, nth) in entry.items() if e == group)
+    weight = {s: held[s] ** 0.5 for s in {s for _, s, _ in inside}}
+    dates = [(b + 1) / weight[s] for _, s, b in inside]
+    assert len(weight) > 200 and dates == sorted(dates)
+    # Slots of an entry follow the order inside it.
+    assert [slots[s, b] for _, s, b in inside] == sorted(slots[s, b] for _, s, b in inside)
+
+
+def test_few_entries_and_odd_rows(odd, nothing):
+    for mix in (mix_sources, mix_to_end):
+        rows = mix(odd, block_bytes=64, most=2).collect()
+        assert len(rows) == len(ODD_ROWS) and all(r.slot is not None for r in rows)
+        some = mix(odd, {"a": 1, "b": 2, None: 0}, block_bytes=64, most=1).collect()
+        assert {r.source for r in some if r.slot is not None} == {"a", "b"}
+        assert mix(nothing, most=1).collect() == []
 
 
 def test_mix_goes_on_after_a_source_is_out(documents, texts):
