@@ -9,7 +9,7 @@ passes through all stages.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import fresh, read_table, ship_package
+from starloom.llm.common import fresh, read_table, ship_package, table_parts
 from starloom.llm.harmonic import harmonic_packing
 from starloom.llm.importance import importance_resample
 from starloom.llm.language import learn, predicted
@@ -17,7 +17,7 @@ from starloom.llm.pfair import mix_to_end
 from starloom.llm.simhash import simhash_groups
 from starloom.scratch import staged
 
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.5  # of a language against all others and none of them
 SHINGLE, RADIUS = 4, 4
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -40,7 +40,7 @@ def _only(docs: DataFrame, chosen: DataFrame, *more: str) -> tuple[DataFrame, di
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language the network is least sure of."""
+    """Drops documents without a letter, and those that the network takes for no language more than for any."""
     ship_package(spark)
     found = fresh(docs, "found")
     known = docs.withColumn(found, predicted(learn(docs)))
@@ -72,9 +72,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Keeps all documents, written in the order of their slots in a mix that goes on until every source is out."""
     ship_package(spark)
     mix = mix_to_end(docs).groupBy("doc_id", "tie").agg(F.min("slot").alias("slot"))
-    kept, own = _only(docs, staged(mix, "pipeline-mix"), "slot")
-    slot = own["slot"]
-    return kept.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").drop(slot)
+    mix = staged(mix, "pipeline-mix")
+    kept, own = _only(docs, mix, "slot")
+    slot, parts = own["slot"], table_parts(docs)
+    # Slots are dense and of about equal bytes, so ranges of them need no sample of the texts.
+    last = mix.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0]
+    placed = kept.repartitionById(parts, F.floor(F.col(slot) * parts / F.lit(last + 1)).cast("int"))
+    return placed.sortWithinPartitions(slot, "doc_id").drop(slot)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
