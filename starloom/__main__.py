@@ -13,8 +13,11 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from starloom.functions import fixed_values as fixed
 from starloom.plans import analyses, quality
-from starloom.plans.publish import load_raw, publish, read_raw, read_report, read_star
+from starloom.plans.publish import load_raw, publish, read_orders_of_status, read_raw, read_report, read_star
+from starloom.scratch import drop_scratch
+from starloom.session import require_settings
 from starloom.sources import store
 from starloom.sources.schemas import RAW_DDL
 
@@ -29,7 +32,6 @@ REPORTS = {
     "late_rate": lambda raw, star: analyses.late_rate(star["fact_orders"], star["dim_customers"]),
     "rfm": lambda raw, star, **options: analyses.rfm(star["fact_orders"], **options),
     "review_delay": lambda raw, star: analyses.review_delay(star["fact_reviews"]),
-    "canceled_orders": lambda raw, star, **options: analyses.orders_with_status(star["fact_orders"], **options),
     "untranslated_categories": lambda raw, star: quality.untranslated_categories(star["dim_products"]),
     "orders_outside_window": lambda raw, star, **options: quality.orders_outside_window(star["fact_orders"], **options),
     "cost_of_one_address": lambda raw, star: quality.cost_of_one_address(raw["customers"]),
@@ -50,16 +52,26 @@ def main(spark: SparkSession, job: str, *args: str) -> None:
         for layer in ("raw", "star"):
             store.expire(spark, f"{root}/{layer}", keep)
     elif job == "report":
+        require_settings(spark)
         root, name, output, *given = args
         options = {key: OPTIONS[key](value) for key, _, value in (g.partition("=") for g in given)}
         if name == "quality_report":
             report = read_report(spark, f"{root}/star")
+        elif name == "canceled_orders":
+            status = options.get("status", fixed.CANCELED)
+            report = analyses.orders_with_status(read_orders_of_status(spark, f"{root}/star", status), status)
         else:
             report = REPORTS[name](read_raw(spark, f"{root}/raw"), read_star(spark, f"{root}/star"), **options)
         report.write.parquet(output)
+        if spark.read.schema(report.schema).parquet(output).isEmpty():
+            print(f"{name}: no rows; are the months or the status in the data?", file=sys.stderr)
     else:
         raise SystemExit(__doc__)
 
 
 if __name__ == "__main__":
-    main(SparkSession.builder.appName("starloom").getOrCreate(), *sys.argv[1:])
+    session = SparkSession.builder.appName("starloom").getOrCreate()
+    try:
+        main(session, *sys.argv[1:])
+    finally:
+        drop_scratch(session)

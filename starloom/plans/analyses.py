@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import fixed_values as fixed
-from starloom.functions.status import earns_revenue, is_delivered
+from starloom.functions.status import earns_no_revenue, earns_revenue, is_delivered
 from starloom.operators.cohort import cohort_retention
 from starloom.operators.growth import period_growth, within
 from starloom.operators.quantiles import FINISH_ROWS, SAMPLE_ROWS, ntile_columns
@@ -20,7 +20,8 @@ def monthly_revenue(
     """Revenue per purchase month with its change and three-month average.
 
     Items are summed per order first. The sum is already partitioned the way the join wants it, so the
-    items cross the network once, reduced, and an order of any size is one row at the join.
+    items cross the network once, reduced, and an order of any size is one row at the join. The star holds items of
+    known orders only, so the few orders that earn nothing are taken out; the many others are not read.
     """
     month = F.col("purchase_month")
     in_window = fact_order_items.filter(within(month, months))
@@ -31,14 +32,19 @@ def monthly_revenue(
     one_month = F.when(
         F.col("_month").eqNullSafe(F.col("_last")), F.col("_month")
     ).otherwise(F.raise_error(F.lit("items of one order carry different purchase months")))
-    earning = fact_orders.filter(earns_revenue(F.col("order_status"))).select("order_id")
-    revenue = per_order.select("order_id", "value", one_month.alias("purchase_month")).join(earning, "order_id")
+    dated = per_order.select("order_id", "value", one_month.alias("purchase_month"))
+    revenue = dated.join(_earning_nothing(fact_orders), "order_id", "left_anti")
     growth = period_growth(revenue, "purchase_month", "value")
     return growth.withColumnsRenamed(
         {"total": "monthly_revenue", "change_pct": "mom_change_pct", "moving_avg": "moving_avg_3mo"}
     )
 
 
+def _earning_nothing(fact_orders: DataFrame) -> DataFrame:
+    """Ids of the orders that do not count as revenue: a few folders of the published layout."""
+    return fact_orders.filter(earns_no_revenue(F.col("order_status"))).select("order_id")
+
+
 def retention(fact_orders: DataFrame) -> DataFrame:
     """Share of each monthly cohort ordering again N months later, over orders of every status."""
     return cohort_retention(fact_orders, "customer_unique_id", "purchase_month").withColumnRenamed(
@@ -58,11 +64,12 @@ def top_sellers(
     """The ``k`` best sellers of every category, ties included.
 
     Value is summed per (product, seller) before products are joined, so a bestseller is a handful of
-    rows by the time its category is looked up.
+    rows by the time its category is looked up. Items lose the few orders that earn nothing; the star holds
+    items of known orders only, so the many others are not read, and items move by (product, seller) alone
+    unless those few are too many to broadcast.
     """
-    earning = fact_orders.filter(earns_revenue(F.col("order_status"))).select("order_id")
     sold = (
-        fact_order_items.join(earning, "order_id")
+        fact_order_items.join(_earning_nothing(fact_orders), "order_id", "left_anti")
         .groupBy("product_id", "seller_id")
         .agg(F.sum("item_total_value").alias("value"))
     )

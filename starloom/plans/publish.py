@@ -15,6 +15,8 @@ from starloom.sources.schemas import RAW_DDL, STAR_DDL, raw_schema, star_schema
 REPORT = "quality_report"
 # Folders by the column selective reads filter on; every value stays a large enough slice of the table.
 PARTITIONS = {"fact_orders": ("order_status",), "fact_order_items": ("purchase_month",)}
+# What the manifest of a table in folders tells the range of, file by file.
+RANGED = {"fact_orders": "purchase_date", "fact_order_items": "purchase_date"}
 
 
 class KeyViolation(Exception):
@@ -56,6 +58,8 @@ def publish(spark: SparkSession, raw: Mapping[str, DataFrame], root: str) -> int
 def _write_star(spark: SparkSession, raw: Mapping[str, DataFrame], run: str) -> None:
     def write(table: str, df: DataFrame) -> None:
         store.write_table(df, f"{run}/{table}", PARTITIONS.get(table, ()))
+        if table in PARTITIONS:
+            store.write_manifest(spark, run, table, star_schema(table), *PARTITIONS[table], RANGED[table])
 
     write("dim_customers", star_build.dim_customers(raw["customers"]))
     write("dim_products", star_build.dim_products(raw["products"], raw["product_category_translation"]))
@@ -77,11 +81,35 @@ def read_star(spark: SparkSession, root: str, version: int | None = None) -> dic
     return _star_at(spark, run)
 
 
+def read_orders_of_status(
+    spark: SparkSession, root: str, status: str | None, days: tuple[str, str] | None = None, version: int | None = None
+) -> DataFrame:
+    """``fact_orders`` of one status, of the purchase days from the first to the last of ``days`` if they are given.
+
+    The manifest names the files, so no folder is listed and no other file is opened.
+    """
+    _, run = store.current_run(spark, root, version)
+    orders = store.read_folder(spark, run, "fact_orders", star_schema("fact_orders"), status, days)
+    return orders if days is None else orders.filter(F.col("purchase_date").between(*[F.lit(d).cast("date") for d in days]))
+
+
 def read_report(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     _, run = store.current_run(spark, root, version)
     return spark.read.parquet(f"{run}/{REPORT}")
 
 
+def register_tables(spark: SparkSession, root: str, database: str, version: int | None = None) -> None:
+    """Name the tables of the newest (or the given) version in the catalog, for every session and client that shares it.
+
+    They are views on the run's files; call it again after a publish, and before the run expires.
+    """
+    _, run = store.current_run(spark, root, version)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for table in STAR_DDL:
+        columns = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in star_schema(table))
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.{table} AS SELECT {columns} FROM parquet.`{run}/{table}`")
+
+
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Name the tables for ``spark.sql``."""
     for name, df in tables.items():

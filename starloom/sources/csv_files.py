@@ -30,6 +30,7 @@ DIALECT = {
     "columnPruning": "false",
 }
 BLOCK = ("file", "block")
+MAX_RECORD = 16 << 20  # characters of a record with line breaks, which is put together in one task
 AS_TEXT = (DecimalType, TimestampNTZType)
 
 
@@ -143,6 +144,7 @@ def _records(lines: DataFrame) -> DataFrame:
         .filter(F.col("_start.at") != F.col("_header"))
     )
     whole = F.col("_starts") & (F.col("odd") == 0)
+    _refuse_endless(lines, placed.filter(~whole))
     pieces = placed.filter(~whole).groupBy("file", "_start").agg(
         F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("_pieces")
     )
@@ -154,6 +156,17 @@ def _records(lines: DataFrame) -> DataFrame:
     return records.select(F.when(record == "", blank).when(_stray_quote(record), stray).otherwise(record).alias("record"))
 
 
+def _refuse_endless(lines: DataFrame, pieces: DataFrame) -> None:
+    """Stop at a record of more than ``MAX_RECORD`` characters, as a forgotten quote makes it, before it is gathered."""
+    sizes = pieces.groupBy("file", "_start").agg(F.sum(F.length("value") + 1).alias("size"))
+    found = sizes.filter(F.col("size") > MAX_RECORD).orderBy("file", "_start").head()
+    if found is None:
+        return
+    start = F.struct(F.lit(found["_start"]["block"]).alias("block"), F.lit(found["_start"]["at"]).alias("at"))
+    line = lines.filter((F.col("file") == found["file"]) & (F.struct("block", "at") <= start)).count()
+    raise ValueError(f"the record at line {line} of {found['file']} has {found['size']} characters: is a quote missing?")
+
+
 def _parsed(records: DataFrame, schema: StructType) -> DataFrame:
     fields = F.from_csv("record", schema.toDDL(), {**DIALECT, "lineSep": "\n"})
     return records.select(fields.alias("r")).select("r.*")

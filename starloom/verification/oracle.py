@@ -235,6 +235,16 @@ ORACLE: dict[str, str] = {
     "fact_orders": _table("fact_orders", {**DATES, **LATE, **ROLLUP, "late_delivery_days": "DOUBLE"}),
     "fact_order_items": _table("fact_order_items", {**DATES, **PRICES, "item_total_value": "DOUBLE"}),
     "fact_reviews": _table("fact_reviews", {**LATE, "delivery_delay_days": "DOUBLE"}),
+    "fact_reviews_split": _sql(
+        """
+        SELECT * REPLACE (CAST(is_delivered_late AS VARCHAR) AS is_delivered_late,
+            CAST(delivery_delay_days AS DOUBLE) AS delivery_delay_days) FROM three_each""",
+        "fact_orders", "r_order_reviews",
+        extra={
+            "thrice": "SELECT r.* FROM r_order_reviews r, range(3)",
+            "three_each": VIEWS["fact_reviews"].replace("r_order_reviews", "thrice"),
+        },
+    ),
     "monthly_revenue": _sql(
         f"""
         SELECT CAST(purchase_month AS VARCHAR) AS purchase_month, CAST(cents AS DOUBLE) / 100 AS monthly_revenue,
@@ -422,6 +432,7 @@ ORACLE: dict[str, str] = {
     ),
     "lookup_unpartitioned": LOOKUP,
     "lookup_partitioned": LOOKUP,
+    "lookup_manifest": LOOKUP,
     "month_window_unpartitioned": MONTH_TOTALS,
     "month_window_partitioned": MONTH_TOTALS,
 }

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType
 
+from starloom.functions import fixed_values as fixed
 from starloom.plans import analyses, layout, quality, star_build
-from starloom.plans.publish import load_raw, publish, read_raw, read_star
+from starloom.plans.publish import load_raw, publish, read_orders_of_status, read_raw, read_star
 from starloom.scratch import scratch_path
 from starloom.sources.conform import RawTables, raw_table
 from starloom.sources.csv_files import read_raw_csv
@@ -70,6 +71,12 @@ class Tables:
     def fact_reviews(self) -> DataFrame:
         return star_build.fact_reviews(self.raw["order_reviews"], self._orders)
 
+    @property
+    def fact_reviews_split(self) -> DataFrame:
+        """Every review three times over, so that each pair is numbered as a hot group is."""
+        once = self.raw["order_reviews"]
+        return star_build.fact_reviews(once.unionByName(once).unionByName(once), self._orders, hot_rows=2)
+
 
 def _over(build: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, folder: plain(build(Tables(spark, folder)))
@@ -121,20 +128,28 @@ def published_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(read_star(spark, _published_root(spark, folder)))
 
 
+@cache
+def _in_one_folder(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A fact table of the published star written again without folders, shared by the queries of a session."""
+    return layout.laid_out(read_star(spark, _published_root(spark, folder))[table])
+
+
+def _stored(spark: SparkSession, folder: str, table: str, in_folders: bool) -> DataFrame:
+    return read_star(spark, _published_root(spark, folder))[table] if in_folders else _in_one_folder(spark, folder, table)
+
+
 def _lookup(by_status: bool) -> Query:
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        stored = layout.laid_out(Tables(spark, folder).fact_orders, ["order_status"] if by_status else [])
-        return plain(analyses.orders_with_status(stored))
+    return lambda spark, folder: plain(analyses.orders_with_status(_stored(spark, folder, "fact_orders", by_status)))
 
-    return query
 
+def lookup_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The lookup over the files that the manifest names."""
+    orders = read_orders_of_status(spark, _published_root(spark, folder), fixed.CANCELED)
+    return plain(analyses.orders_with_status(orders))
 
-def _month_totals(by_month: bool) -> Query:
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        stored = layout.laid_out(Tables(spark, folder).fact_order_items, ["purchase_month"] if by_month else [])
-        return plain(layout.month_totals(stored, MONTHS))
 
-    return query
+def _month_totals(by_month: bool) -> Query:
+    return lambda spark, folder: plain(layout.month_totals(_stored(spark, folder, "fact_order_items", by_month), MONTHS))
 
 
 def _published(table: str) -> Query:
@@ -168,6 +183,7 @@ QUERIES: dict[str, Query] = {
     "fact_orders": _over(lambda t: t.fact_orders),
     "fact_order_items": _over(lambda t: t.fact_order_items),
     "fact_reviews": _over(lambda t: t.fact_reviews),
+    "fact_reviews_split": _over(lambda t: t.fact_reviews_split),
     "monthly_revenue": _over(lambda t: analyses.monthly_revenue(t.fact_order_items, t.fact_orders, MONTHS)),
     "cohort_retention": _over(lambda t: analyses.retention(t.fact_orders)),
     "top_sellers": _over(lambda t: analyses.top_sellers(t.fact_order_items, t.dim_products, t.fact_orders)),
@@ -188,6 +204,7 @@ QUERIES: dict[str, Query] = {
     "check_primary_keys": _checked(lambda raw, star: quality.primary_keys(star)),
     "lookup_unpartitioned": _lookup(by_status=False),
     "lookup_partitioned": _lookup(by_status=True),
+    "lookup_manifest": lookup_manifest,
     "month_window_unpartitioned": _month_totals(by_month=False),
     "month_window_partitioned": _month_totals(by_month=True),
     # The search for boundary rows, which larger tables than these need.

@@ -13,7 +13,7 @@ def test_jobs_from_csv_to_reports(spark):
     main(spark, "load", folder, root)
     main(spark, "publish", root)
     found = {}
-    for name in [*REPORTS, "quality_report"]:
+    for name in [*REPORTS, "canceled_orders", "quality_report"]:
         main(spark, "report", root, name, f"{root}/{name}")
         found[name] = spark.read.parquet(f"{root}/{name}").count()
     assert found["quality_report"] == 31 and found["untranslated_categories"] == 2

@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 from verify_local import TABLES, _rows
 
 CHEAP = [
-    "fact_orders", "fact_order_items", "fact_reviews", "monthly_revenue", "cohort_retention", "top_sellers",
+    "fact_orders", "fact_order_items", "fact_reviews", "fact_reviews_split", "lookup_manifest", "lookup_unpartitioned", "month_window_partitioned", "monthly_revenue", "cohort_retention", "top_sellers",
     "late_rate", "rfm", "rfm_search", "published_fact_reviews", "reloaded_orders", "reloaded_order_items", "review_delay", "check_orphans", "check_primary_keys", "csv_order_reviews",
 ]
 
