@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 from starloom.scratch import staged
 
 SAMPLE_ROWS = 10_000
+# Sampled rows in a round, shared by all intervals, and the fewest of an interval that still narrow it.
+SAMPLE_BUDGET = 100_000
+LEAST_SAMPLE = 200
 FINISH_ROWS = 250_000
 # Sampled positions stray by about sqrt(sample) / 2; four times that almost always still brackets.
 SLACK = 2.0
@@ -97,7 +100,6 @@ def ntile_columns(
         in_reach = reduce(Column.__or__, [keys[s.name].between(s.low, s.high) for s in searches])
         near = staged(table.filter(in_reach), "ntile-boundaries")
     found = _boundary_rows(near, keys, searches) if searches else {}
-    _check_positions(table, keys, found)
     return table.select(
         "*",
         *[
@@ -131,8 +133,9 @@ def _narrow(table: DataFrame, keys: Mapping[str, _Key], wide: list[_Boundary], s
 def _sorted_samples(
     table: DataFrame, keys: Mapping[str, _Key], wide: list[_Boundary], sample_rows: int
 ) -> dict[tuple, list[tuple]]:
-    """About ``sample_rows`` keys from each interval, all taken in one scan."""
+    """About ``sample_rows`` keys from each interval, fewer if ``SAMPLE_BUDGET`` asks for it, all taken in one scan."""
     intervals = {s.interval: s for s in wide}
+    sample_rows = min(sample_rows, max(LEAST_SAMPLE, SAMPLE_BUDGET // len(intervals)))
     chosen = [
         F.when(keys[s.name].between(s.low, s.high) & (F.rand() < sample_rows / s.inside), F.lit(i))
         for i, s in enumerate(intervals.values())
@@ -169,24 +172,19 @@ def _boundary_rows(
     picks = []
     for (name, low, high), inside in shared.items():
         key, below = keys[name], inside[0].below
-        position = F.row_number().over(Window.orderBy(key.of_row())) + below
+        in_order = Window.orderBy(key.of_row())
+        position = F.row_number().over(in_order) + below
+        # All rows that tie with one of an interval are in it: if the next does not, as many rows lie up to this one as it says.
+        tied = F.coalesce(F.lead(key.of_row()).over(in_order) == key.of_row(), F.lit(False))
         picks.append(
             rows.filter(key.between(low, high))
-            .select(F.lit(name).alias("name"), key.as_text().alias("boundary"), position.alias("position"))
+            .select(F.lit(name).alias("name"), key.as_text().alias("boundary"), position.alias("position"), tied.alias("tied"))
             .filter(F.col("position").isin(*[s.target for s in inside]))
         )
     found: dict[str, list[tuple[int, tuple]]] = {}
     for row in reduce(DataFrame.unionAll, picks).collect():
+        if row["tied"]:
+            raise ValueError(f"{keys[row['name']].columns} does not tell all rows apart: add a unique tiebreak")
         found.setdefault(row["name"], []).append((row["position"], tuple(row["boundary"])))
     return found
 
-
-def _check_positions(table: DataFrame, keys: Mapping[str, _Key], found: Mapping[str, list]) -> None:
-    """In one scan, at any size: as many rows lie up to each boundary as its position says, or rows tie across it."""
-    boundaries = [(name, position, key) for name, own in found.items() for position, key in own]
-    if not boundaries:
-        return
-    counted = table.agg(*[F.count_if(keys[name].up_to(key)) for name, _, key in boundaries]).head()
-    for (name, position, _), rows in zip(boundaries, counted, strict=True):
-        if rows != position:
-            raise ValueError(f"{keys[name].columns} does not tell all rows apart: add a unique tiebreak")

@@ -5,11 +5,12 @@ import threading
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom import scratch
 from starloom.__main__ import main
-from starloom.operators import cohort
+from starloom.operators import cohort, quantiles
 from starloom.operators.cohort import cohort_retention
 from starloom.plans import analyses
 from starloom.plans.publish import publish, read_orders_of_status, read_star, register_tables
@@ -152,3 +153,22 @@ def test_months_are_bits_in_a_hash_aggregate_whatever_the_calendar(table, monkey
     assert rows(cohort_retention(ends, "u", "m")) == [
         (dt.date(1, 1, 1), 1, 0, 1, D("100.00")), (dt.date(1, 1, 1), 1, 9998 * 12 + 11, 1, D("100.00"))
     ]
+
+
+def test_samples_of_many_intervals_share_a_budget(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SAMPLE_BUDGET", 3000)
+    monkeypatch.setattr(quantiles, "LEAST_SAMPLE", 60)
+    taken, real = [], quantiles._sorted_samples
+
+    def sampled(*args):
+        out = real(*args)
+        taken.append(sum(map(len, out.values())))
+        return out
+
+    monkeypatch.setattr(quantiles, "_sorted_samples", sampled)
+    df = spark.range(40_000).select(F.xxhash64("id").alias("v"), "id")
+    got = quantiles.ntile_columns(df, {"a": ["v", "id"], "b": ["id"]}, 20, sample_rows=3000, finish_rows=900)
+    want = df.select("id", *[F.ntile(20).over(Window.orderBy(o)).alias(n) for n, o in (("a", "v"), ("b", "id"))])
+    assert got.select("id", "a", "b").exceptAll(want).isEmpty()
+    # Twice a budget, as samples stray; each of these 38 boundaries used to take 3,000 rows in later rounds.
+    assert len(taken) > 1 and max(taken) < 2 * 3000
