@@ -19,7 +19,7 @@ from starloom.llm.rotation_codes import embedding_groups
 from starloom.llm.simhash import simhash_groups
 from starloom.llm.syncmers import document_fingerprints
 from starloom.llm.token_counts import token_counts
-from starloom.llm.virtual_slots import virtual_shards
+from starloom.llm.virtual_slots import slot_bytes, update_map, virtual_shards, with_slots
 from starloom.llm.wavelet import read_files, write_files
 from starloom.scratch import scratch_path
 
@@ -36,7 +36,10 @@ def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = virtual_shards(read_table(spark, sf_dir, "documents"), 24, scratch_path(spark, "slot-map"))
+    docs, path = read_table(spark, sf_dir, "documents"), scratch_path(spark, "slot-map")
+    # A map that is there for 23 shards is edited for the 24th: rows are placed by its second version.
+    update_map(slot_bytes(with_slots(docs)), 23, path)
+    shards = virtual_shards(docs, 24, path)
     return shards.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",

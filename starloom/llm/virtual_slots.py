@@ -9,6 +9,7 @@ from starloom.scratch import staged
 
 SLOTS = 4096
 CELL_ROWS = 1 << 18
+PART_OF_SHARD = 8  # rows of one id that are more than this part of an even shard are spread one by one
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -134,6 +135,39 @@ def placed_rows(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> Dat
     return numbered.join(before, same_cell).withColumn("slot", F.col("before") + F.col("nth") - 1)
 
 
+def with_hot_ids_spread(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """``rows`` (written, with a number ``row``) with those of an id that is too heavy for one slot spread over all slots.
+
+    Such ids lie in the few slots that are too heavy, so only these are summed by id; there are at most as many as
+    parts of ``PART_OF_SHARD`` in all shards.
+    """
+    sizes = staged(slot_bytes(rows), "slot-bytes")
+    most = (sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // (PART_OF_SHARD * shards)
+    heavy = sizes.filter(F.col("bytes") > most).select("virtual_slot")
+    by_id = rows.join(heavy, "virtual_slot", "left_semi").groupBy("spread")
+    by_id = by_id.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    hot = staged(by_id.filter((F.col("bytes") > most) & (F.col("n") > 1)).select(F.col("spread").alias("hot")), "slot-hot")
+    if hot.isEmpty():
+        return rows
+    spread = F.when(F.col("hot").isNull(), F.col("spread")).otherwise(F.xxhash64("spread", "row"))
+    rows = rows.join(hot, F.col("spread") == F.col("hot"), "left").withColumn("spread", spread).drop("hot")
+    return staged(rows.withColumn("virtual_slot", F.pmod("spread", F.lit(slots)).cast("int")), "slot-rows")
+
+
+def update_map(sizes: DataFrame, shards: int, map_path: str, slots: int = SLOTS) -> DataFrame:
+    """The map at ``map_path`` for these bytes per slot and number of shards: a first one, or an edited one, which becomes a new
+    version only if a slot changes its shard."""
+    spark = sizes.sparkSession
+    old = latest_map(spark, map_path)
+    if old is not None and (n := old.count()) != slots:
+        raise ValueError(f"the map at {map_path} has {n} slots, not {slots}")
+    edited = staged(edited_map(sizes, shards, old, slots), "slot-map-edited")
+    was = None if old is None else old.select("virtual_slot", F.col("shard").alias("was"))
+    if was is None or not edited.join(was, "virtual_slot").filter(F.col("shard") != F.col("was")).isEmpty():
+        store_map(edited, map_path)
+    return read_map(spark, map_path)
+
+
 def virtual_shards(
     docs: DataFrame, shards: int, map_path: str, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS
 ) -> DataFrame:
@@ -145,18 +179,12 @@ def virtual_shards(
     place in the shard, from 0, without gaps), ``virtual_slot`` and ``map_version``. Texts are read where they lie;
     only sizes and hashes are shuffled.
 
-    A null text counts as empty. Null ids are spread by text; rows with equal ids share a virtual slot. Other columns
-    are not read. An empty table gives an empty result and a map that deals the slots out in turn.
+    A null text counts as empty. Null ids are spread by text; rows with equal ids share a virtual slot, unless together they
+    are too heavy for one: then they are spread one by one (see ``with_hot_ids_spread``). Other columns are not read. An empty table gives an empty result and a map that deals the slots out in turn.
     """
-    rows = staged(with_slots(docs, id_col, text_col, slots), "slot-rows")
-    old = latest_map(docs.sparkSession, map_path)
-    if old is not None and (n := old.count()) != slots:
-        raise ValueError(f"the map at {map_path} has {n} slots, not {slots}")
-    edited = staged(edited_map(slot_bytes(rows), shards, old, slots), "slot-map-edited")
-    was = None if old is None else old.select("virtual_slot", F.col("shard").alias("was"))
-    if was is None or not edited.join(was, "virtual_slot").filter(F.col("shard") != F.col("was")).isEmpty():
-        store_map(edited, map_path)
-    slot_map = read_map(docs.sparkSession, map_path)
+    rows = with_slots(docs, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id())
+    rows = with_hot_ids_spread(staged(rows, "slot-rows"), shards, slots)
+    slot_map = update_map(slot_bytes(rows), shards, map_path, slots)
     version = slot_map.agg(F.max("version")).first()[0]
     return placed_rows(rows, slot_map, slots).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot", "virtual_slot",

@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from starloom.llm import syncmers, virtual_slots
+from starloom.llm.queries import QUERIES
 from starloom.llm.syncmers import anchors, as_text, code_points, document_fingerprints, fingerprint, from_text, likeness
 from starloom.llm.virtual_slots import edited_map, read_map, slot_bytes, store_map, virtual_shards, with_slots
 from starloom.scratch import scratch_path
+from tests.conftest import SMALL
 from tests.llm.conftest import ODD_ROWS
 
 
@@ -160,3 +163,20 @@ def test_shards_follow_the_stored_map(spark, documents, texts):
     assert fewer[1] == 3 and set(fewer[0].values()) == set(range(5))
     with pytest.raises(ValueError, match="512 slots"):
         virtual_shards(documents, 5, path, slots=64)
+
+
+def test_a_third_on_one_id_and_a_third_without_keep_shards_even(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "same" * 25 if i % 2 else f"text {i} " * 12) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = virtual_shards(docs, 24, scratch_path(spark, "map"))
+    assert out.count() == len(rows)
+    held = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(held) == 24 and max(held) < 1.02 * sum(held) / 24 and min(held) > 0.98 * sum(held) / 24
+    slots = out.groupBy("shard").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("n"))
+    assert all((r.low, r.high) == (0, r.n - 1) for r in slots.collect())
+
+
+def test_the_query_places_rows_by_an_edited_map(spark, documents):
+    rows = QUERIES["op3_virtual_slots"](spark, SMALL).collect()
+    assert {r.map_version for r in rows} == {1} and len(rows) == documents.count()
+    assert {r.shard for r in rows} == set(range(24))
