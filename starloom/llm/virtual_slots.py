@@ -38,8 +38,8 @@ def edited_map(
 
     Slots go by size, the largest first. One without a shard so far, or whose shard is gone, goes to the lightest
     shard. One that has a shard stays, unless its shard holds more than an equal part, would hold no less than
-    ``slack`` under it without the slot, and there is one that would still hold no more than it with the slot: with new
-    shards the lightest of them, so that rows move into new shards only; else the lightest of all, and only
+    that (``slack`` under it without new shards) without the slot, and there is one that would still hold no more than it with the
+    slot: with new shards the lightest of them, so that rows move into new shards only; else the lightest of all, and only
     out of shards that are over by more than ``slack``. All that is looked at is one row per slot, a fixed number.
     """
     every = sizes.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
@@ -64,7 +64,8 @@ def edited_map(
 
     grown = old_shards < shards
     first = old_shards if grown else 0
-    most, least_left = F.col("even") * (1 if grown else 1 + slack), F.col("even") * (1 - slack)
+    # Shards that give to new ones stop at an equal part, so that all of them give and none gives more than it has over.
+    most, least_left = F.col("even") * (1 if grown else 1 + slack), F.col("even") * (1 if grown else 1 - slack)
 
     def place(state, slot):
         size, was = -slot["minus"], slot["was"]
