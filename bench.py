@@ -69,7 +69,7 @@ def main():
             timed(lambda: query().write.format("noop").mode("overwrite").save()) for _ in range(WARM_UPS + RUNS)
         ]
         seconds[name] = round(statistics.median(runs[WARM_UPS:]), 4)
-    fixed = seconds.pop("fixed_cost")
+    fixed_cost = seconds.pop("fixed_cost")
     print(
         json.dumps(
             {
@@ -77,7 +77,7 @@ def main():
                 "value": round(sum(seconds.values()), 4),
                 "unit": "sec",
                 "queries": seconds,
-                "fixed_cost_of_a_job": fixed,
+                "fixed_cost_of_a_job": fixed_cost,
                 "setup": {"raw_to_parquet": round(raw_sec, 2), "build_check_publish": round(publish_sec, 2)},
                 "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1],
                 "rows": {"fact_orders": orders.count(), "fact_order_items": items.count()},
