@@ -2,8 +2,9 @@
 
 A window of ``k`` code points is an anchor if the smallest hash of its inner windows of ``s`` code points lies at its
 first or last place. That depends on the ``k`` code points alone, so an unchanged passage keeps its anchors
-wherever it stands, and two anchors are at most ``k - s`` code points apart. A fingerprint keeps the
-``m`` anchors with the smallest hashes, each with its place; two are compared by the anchors they share in the same order.
+wherever it stands, and two anchors are at most ``k - s`` code points apart. A fingerprint keeps every anchor
+whose hash lies in the lowest 32nd of all hashes, and at least the ``m`` of smallest hash, each with its place; so it is
+as dense in a long text as in a short one. Two are compared by the anchors they share in the same order.
 """
 
 import base64
@@ -11,13 +12,14 @@ import bisect
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from starloom.llm.common import arrow_schema, batches_of, ddl, table_parts
-from starloom.scratch import staged
 
 K, S, M = 16, 9, 64
+KEPT_BELOW = 1 << 27  # of 32-bit hashes: one anchor in 32, some 128 code points apart
+KEY = ("nameless", "down", "tie")  # the order of documents: ids fall, null ids come last, then the hash of the text
 CHUNK = 1 << 16
 ANCHOR = np.dtype([("hash", "<u4"), ("place", "<u4")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,11 +76,12 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
 
 
 def fingerprint(points: np.ndarray, m: int = M) -> np.ndarray:
-    """The ``m`` anchors of smallest hash, by hash; of equal ones the first."""
+    """Anchors with a hash under ``KEPT_BELOW``, or the ``m`` of smallest hash if those are more; by hash, of equal ones the first."""
     hashes, places = anchors(points)
     hashes, first = np.unique(hashes, return_index=True)
-    out = np.empty(min(m, len(hashes)), ANCHOR)
-    out["hash"], out["place"] = hashes[:m], np.minimum(places[first[:m]], 0xFFFFFFFF)
+    kept = min(len(hashes), max(m, int(np.searchsorted(hashes, KEPT_BELOW))))
+    out = np.empty(kept, ANCHOR)
+    out["hash"], out["place"] = hashes[:kept], np.minimum(places[first[:kept]], 0xFFFFFFFF)
     return out
 
 
@@ -91,13 +94,15 @@ def from_text(text: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, m: int = M) -> float:
-    """Of the ``m`` smallest hashes of both, the part that both have in the same order; 1 if both are empty.
+    """Of the hashes of both under ``KEPT_BELOW``, at least the ``m`` smallest, the part that both have in the same order.
 
-    Equal texts give 1. Anchors that are shared by chance stand in another order as a rule and do not count.
+    Equal texts give 1, as do two without anchors. Anchors that are shared by chance stand in another order as a rule
+    and do not count. Either fingerprint holds all its text's anchors up to that limit, so nothing is compared with a gap.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a["hash"], b["hash"])[:m]
+    union = np.union1d(a["hash"], b["hash"])
+    union = union[: max(m, int(np.searchsorted(union, KEPT_BELOW)))]
     _, of_a, of_b = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
     shared = a["hash"][of_a] <= union[-1]
     places = b["place"][of_b[shared]][np.argsort(a["place"][of_a[shared]], kind="stable")]
@@ -108,24 +113,28 @@ def likeness(a: np.ndarray, b: np.ndarray, m: int = M) -> float:
     return len(tails) / len(union)
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    cuts = [i / parts for i in range(1, parts)]
-    return sorted({int(b) for b in docs.approxQuantile("id", cuts, 0.5 / parts)}) if cuts else []
+def _heads(rows: DataFrame, parts: int) -> list[Row]:
+    """The first key of each of up to ``parts`` ranges of about equally many rows."""
+    ranges = rows.select(*KEY).repartitionByRange(parts, *KEY).withColumn("range", F.spark_partition_id())
+    heads = ranges.groupBy("range").agg(F.min(F.struct(*KEY)).alias("head")).collect()
+    return [r.head for r in sorted(heads, key=lambda r: r.range)]
 
 
-def _part_of(bounds: list[int]):
-    """Ids of range 0 are the largest; the last range holds null ids. A binary search in a fixed array."""
-    if not bounds:
-        return F.when(F.col("id").isNull(), F.lit(1)).otherwise(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)])
-    below = F.aggregate(
+def _goes(heads: list[Row]) -> Column:
+    """The range of a row; for the first of a range also the one before, the last range for the very first row."""
+    types = dict(zip(KEY, ("boolean", "long", "long"), strict=True))
+    heads = heads or [Row(**{k: None for k in KEY})]
+    array = F.array(*[F.struct(*[F.lit(h[k]).cast(t).alias(k) for k, t in types.items()]) for h in heads])
+    key = F.struct(*KEY)
+    steps = F.array(*[F.lit(1 << i) for i in range(len(heads).bit_length() - 1, -1, -1)])
+    up_to = F.aggregate(  # a binary search: how many heads are not above the key
         steps,
         F.lit(0),
         lambda n, step: n
-        + F.when((n + step <= len(bounds)) & (F.try_element_at(array, n + step) <= F.col("id")), step).otherwise(0),
+        + F.when((n + step <= len(heads)) & (F.try_element_at(array, n + step) <= key), step).otherwise(0),
     )
-    return F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below)
+    before = F.when(up_to > 1, up_to - 2).otherwise(len(heads) - 1)
+    return F.when(F.element_at(array, up_to) == key, F.array(up_to - 1, before)).otherwise(F.array(up_to - 1))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,28 +146,20 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     likenesses ``near_edited`` and ``near_next``, from 0 to 1.
 
     Texts move once, into ranges of descending ids; the first document of each range also goes to the range before,
-    whose last document it follows. A task reads its range in order and holds two documents at a time.
+    whose last document it follows. A task reads its range in order and holds two documents at a time. Ranges are cut by
+    id and a hash of the text, so rows of one id, or without any, are spread over as many as they fill.
 
-    Ids are integers. A null text counts as empty. Null ids come last, as one range; rows with equal ids follow
-    each other by a hash of their texts. A single document is its own next. Other columns are not read. An empty
+    Ids are integers. A null text counts as empty. Null ids come last; rows with equal ids follow
+    each other by the hash of their texts, and only rows equal in both are kept together. A single document is its own next. Other columns are not read. An empty
     table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(2, table_parts(docs))
-    bounds = _bounds(rows.select(F.col("id").cast("long")), parts - 1)
-    rows = rows.withColumn("part", _part_of(bounds))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    first = F.min(F.struct(F.bitwise_not("id").alias("down"), "tie")).alias("first")
-    heads = staged(rows.groupBy("part").agg(first), "syncmer-heads")  # one row per range
-    to = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
-    heads = staged(
-        heads.select(F.bitwise_not("first.down").alias("head"), F.col("first.tie").alias("head_tie"), to.alias("to")),
-        "syncmer-heads",
-    )
-    is_head = F.col("id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
-    with_index = rows.join(heads, is_head, "left").select("id", "text", "tie", F.posexplode(_goes()).alias("next", "to_part"))
-    ranges = with_index.repartitionById(len(bounds) + 2, F.col("to_part").cast("int"))
-    ranges = ranges.sortWithinPartitions("next", F.col("id").desc_nulls_last(), "tie").select("id", "text", "next")
+    down = F.bitwise_not(F.col("id").cast("long"))
+    rows = rows.select("*", F.col("id").isNull().alias("nameless"), down.alias("down"), F.xxhash64("text").alias("tie"))
+    heads = _heads(rows, max(2, table_parts(docs) - 1))
+    placed = rows.select("id", "text", *KEY, F.posexplode(_goes(heads)).alias("next", "to_part"))
+    ranges = placed.repartitionById(max(1, len(heads)), "to_part")
+    ranges = ranges.sortWithinPartitions("next", *KEY).select("id", "text", "next")
     fields = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string"
     schema = f"{ddl(rows, id='id')}, {fields}, near_edited double, near_next double"
     out_schema = arrow_schema(schema)
@@ -179,8 +180,11 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for batch in batches:
                 for own, text, is_next in zip(*(batch.column(c) for c in ("id", "text", "next")), strict=True):
                     text = text.as_py()
-                    points = code_points(text)
-                    print_ = fingerprint(points)
+                    if held is not None and text == held[1]:
+                        points, print_ = held[2:]
+                    else:
+                        points = code_points(text)
+                        print_ = fingerprint(points)
                     if held is not None:
                         yield compared(*held, text, print_)
                     if is_next.as_py():
@@ -190,8 +194,3 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         yield from batches_of(rows_out(), out_schema, 512)
 
     return ranges.mapInArrow(run, schema).withColumnRenamed("id", id_col)
-
-
-def _goes():
-    """The range of a row, and for the first of a range also the one before."""
-    return F.when(F.col("to").isNull(), F.array("part")).otherwise(F.array("part", "to"))

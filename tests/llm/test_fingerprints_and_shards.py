@@ -58,6 +58,38 @@ def test_likeness():
     assert (from_text(as_text(a)) == a).all()
 
 
+def test_a_passage_in_two_long_texts_is_found():
+    draw = np.random.default_rng(5)
+
+    def letters(n):
+        return "".join(map(chr, draw.integers(97, 123, n)))
+
+    for _ in range(10):
+        passage, (at, to) = letters(1_200), draw.integers(0, 118_000, 2).tolist()
+        a, b = letters(118_800), letters(118_800)
+        one, other = (fingerprint(code_points(t[:i] + passage + t[i:])) for t, i in ((a, at), (b, to)))
+        _, of_a, of_b = np.intersect1d(one["hash"], other["hash"], return_indices=True)
+        apart = other["place"][of_b].astype(int) - one["place"][of_a].astype(int)
+        assert (apart == to - at).sum() >= 2
+        assert likeness(one, other) > 0
+        assert likeness(one, fingerprint(code_points(a))) > 0.9
+
+
+def test_rows_of_one_id_and_of_none_are_spread(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " * 3) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        out = document_fingerprints(frame)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        got = out.groupBy("doc_id").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) == 12 and sum(sizes) == 3000 and max(sizes) < 2 * np.median(sizes)
+    assert {r.doc_id: r["count"] for r in got if r.doc_id in (None, 7)} == {None: 1000, 7: 1000}
+
+
 def plain_fingerprints(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     out = {}
