@@ -1,16 +1,18 @@
 """Exact global NTILE without a global sort.
 
-NTILE over one ordering is decided by its ``buckets - 1`` boundary rows. Those are found by narrowing
-an interval around each boundary position: a bounded sample proposes narrower limits, an exact count of
-the rows below them says which side holds the position. The sample only steers; a bad one costs another
-round, never a wrong answer. A round is two scans of one written table for all boundaries of all orderings
-and narrows an interval some twentyfold, so ten billion rows take four; nothing large is ever shuffled.
+NTILE over one ordering is decided by its ``buckets - 1`` boundary rows. Limits cut an ordering into cells, and an exact
+count of each cell says which cells hold boundaries. A bounded sample of those proposes closer limits. The sample only
+steers; a bad one costs another round, never a wrong answer. A round is two scans of one written table for all
+boundaries of all orderings and narrows a cell some twentyfold, so ten billion rows take four; nothing large is ever shuffled.
+The number of boundaries changes neither the number of scans nor the rows that the driver sees.
 """
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,28 +21,46 @@ from pyspark.sql.types import StructType
 from starloom.scratch import staged
 
 SAMPLE_ROWS = 10_000
-# Sampled rows in a round, shared by all intervals, and the fewest of an interval that still narrow it.
+# Sampled rows in a round, shared by all cells, and the fewest of a cell that still narrow it. Cells beyond that wait a round.
 SAMPLE_BUDGET = 100_000
 LEAST_SAMPLE = 200
 FINISH_ROWS = 250_000
 # Sampled positions stray by about sqrt(sample) / 2; four times that almost always still brackets.
 SLACK = 2.0
+# So many limits are compared one by one, in generated code; more by a binary search.
+FEW_LIMITS = 16
 
 
 @dataclass
-class _Boundary:
-    """Searched row: position ``target`` in the order of ``key``; it lies in (``low``, ``high``]."""
+class _Search:
+    """The searched positions of one ordering. Cell ``i`` holds the rows above ``limits[i - 1]`` and up to ``limits[i]``."""
 
-    name: str
-    target: int
-    low: tuple | None
-    high: tuple | None
-    below: int
-    inside: int
+    targets: list[int]
+    rows: int
+    limits: list[tuple]
+    up_to: list[int]  # rows up to each limit
 
-    @property
-    def interval(self) -> tuple:
-        return self.name, self.low, self.high
+    def cells(self) -> dict[int, list[int]]:
+        """The searched positions by cell."""
+        found: dict[int, list[int]] = {}
+        for target in self.targets:
+            found.setdefault(bisect_left(self.up_to, target), []).append(target)
+        return found
+
+    def below(self, cell: int) -> int:
+        return self.up_to[cell - 1] if cell else 0
+
+    def inside(self, cell: int) -> int:
+        return (self.up_to[cell] if cell < len(self.limits) else self.rows) - self.below(cell)
+
+    def drop_idle_limits(self) -> None:
+        used = sorted({i for cell in self.cells() for i in (cell - 1, cell) if 0 <= i < len(self.limits)})
+        self.limits, self.up_to = [self.limits[i] for i in used], [self.up_to[i] for i in used]
+
+
+def _in_order(key: tuple) -> list:
+    """Sorts keys as Spark does: NULL first, NaN last."""
+    return [(v is not None, v != v, v) for v in key]
 
 
 def bucket_ends(rows: int, buckets: int) -> list[int]:
@@ -66,12 +86,18 @@ class _Key:
     def as_text(self) -> Column:
         return F.array(*[F.col(c).cast("string") for c in self.columns])
 
-    def up_to(self, value: tuple | None) -> Column:
-        return F.lit(True) if value is None else self.of_row() <= self.literal(value)
-
-    def between(self, low: tuple | None, high: tuple | None) -> Column:
-        inside = self.up_to(high)
-        return inside if low is None else inside & (self.of_row() > self.literal(low))
+    def cell(self, limits: Sequence[tuple]) -> Column:
+        """How many of the ascending ``limits`` lie below the row."""
+        row, limits = self.of_row(), [self.literal(v) for v in limits]
+        if len(limits) <= FEW_LIMITS:
+            return reduce(lambda n, limit: n + (row > limit).cast("int"), limits, F.lit(0))
+        array, steps = F.array(*limits), [1 << i for i in range(len(limits).bit_length() - 1, -1, -1)]
+        return F.aggregate(
+            F.array(*[F.lit(step) for step in steps]),
+            F.lit(0),
+            lambda n, step: n
+            + F.when((n + step <= len(limits)) & (F.try_element_at(array, n + step) < row), step).otherwise(0),
+        )
 
 
 def ntile_columns(
@@ -90,101 +116,101 @@ def ntile_columns(
     table = staged(df, "ntile")
     keys = {name: _Key(columns, table.schema) for name, columns in orderings.items()}
     rows = table.count()
-    searches = [
-        _Boundary(name, end, None, None, 0, rows) for name in orderings for end in bucket_ends(rows, buckets)
-    ]
-    while wide := [s for s in searches if s.inside > finish_rows]:
-        _narrow(table, keys, wide, sample_rows)
-    near = table
-    if rows > finish_rows and searches:
-        in_reach = reduce(Column.__or__, [keys[s.name].between(s.low, s.high) for s in searches])
-        near = staged(table.filter(in_reach), "ntile-boundaries")
-    found = _boundary_rows(near, keys, searches) if searches else {}
-    return table.select(
-        "*",
-        *[
-            reduce(
-                lambda bucket, last: bucket + (key.of_row() > key.literal(last[1])).cast("int"),
-                found.get(name, []),
-                F.lit(1),
-            ).alias(name)
-            for name, key in keys.items()
-        ],
-    )
-
-
-def _narrow(table: DataFrame, keys: Mapping[str, _Key], wide: list[_Boundary], sample_rows: int) -> None:
-    """One scan to sample all intervals, one to count below all proposed limits."""
-    samples = _sorted_samples(table, keys, wide, sample_rows)
-    proposals = [(s, _proposed_limits(samples[s.interval], s)) for s in wide]
-    counts = [F.count_if(keys[s.name].up_to(limit)) for s, limits in proposals for limit in limits]
-    counted = iter(table.agg(F.count(F.lit(1)), *counts).head()[1:])
-    for search, limits in proposals:
-        top = search.below + search.inside
-        for limit in limits:
-            upto = next(counted)
-            if upto < search.target:
-                search.low, search.below = limit, max(search.below, upto)
-            elif upto < top:
-                search.high, top = limit, upto
-        search.inside = top - search.below
+    searches = {name: _Search(bucket_ends(rows, buckets), rows, [], []) for name in orderings}
+    while wide := [(name, c) for name, s in searches.items() for c in s.cells() if s.inside(c) > finish_rows]:
+        _narrow(table, keys, searches, wide[: SAMPLE_BUDGET // LEAST_SAMPLE], sample_rows)
+    found = _boundary_rows(table, keys, searches, rows > finish_rows)
+    return table.select("*", *[(key.cell(found[name]) + 1).alias(name) for name, key in keys.items()])
+
+
+def _narrow(
+    table: DataFrame, keys: Mapping[str, _Key], searches: Mapping[str, _Search], wide: list[tuple[str, int]], sample_rows: int
+) -> None:
+    """One scan to sample the ``wide`` cells, one to count the cells between old and proposed limits."""
+    samples = _sorted_samples(table, keys, searches, wide, sample_rows)
+    proposed: dict[str, set[tuple]] = {}
+    for (name, cell), sample in samples.items():
+        for target in searches[name].cells()[cell]:
+            proposed.setdefault(name, set()).update(_proposed_limits(sample, target, searches[name], cell))
+    limits = {name: sorted({*searches[name].limits, *new}, key=_in_order) for name, new in proposed.items()}
+    if not limits:
+        return
+    cells = [F.struct(F.lit(name).alias("name"), keys[name].cell(own).alias("cell")) for name, own in limits.items()]
+    counted = table.select(F.explode(F.array(*cells)).alias("of")).groupBy("of").count().collect()
+    sizes = {(r["of"]["name"], r["of"]["cell"]): r["count"] for r in counted}
+    for name, own in limits.items():
+        search = searches[name]
+        search.limits, search.up_to = own, list(accumulate(sizes.get((name, i), 0) for i in range(len(own))))
+        search.drop_idle_limits()
 
 
 def _sorted_samples(
-    table: DataFrame, keys: Mapping[str, _Key], wide: list[_Boundary], sample_rows: int
-) -> dict[tuple, list[tuple]]:
-    """About ``sample_rows`` keys from each interval, fewer if ``SAMPLE_BUDGET`` asks for it, all taken in one scan."""
-    intervals = {s.interval: s for s in wide}
-    sample_rows = min(sample_rows, max(LEAST_SAMPLE, SAMPLE_BUDGET // len(intervals)))
-    chosen = [
-        F.when(keys[s.name].between(s.low, s.high) & (F.rand() < sample_rows / s.inside), F.lit(i))
-        for i, s in enumerate(intervals.values())
-    ]
-    columns = sorted({c for s in wide for c in keys[s.name].columns})
-    taken = table.select(F.explode(F.array_compact(F.array(*chosen))).alias("_interval"), *columns).collect()
-    samples = []
-    for i, s in enumerate(intervals.values()):
-        sample = [tuple(row[c] for c in keys[s.name].columns) for row in taken if row["_interval"] == i]
-        sample.sort(key=lambda key: [(v is not None, v) for v in key])
+    table: DataFrame, keys: Mapping[str, _Key], searches: Mapping[str, _Search], wide: list[tuple[str, int]], sample_rows: int
+) -> dict[tuple[str, int], list[tuple]]:
+    """Keys from each cell, about ``sample_rows`` a boundary, fewer if ``SAMPLE_BUDGET`` asks for it, all taken in one scan."""
+    chosen = []
+    for name in {name: None for name, _ in wide}:
+        search, inside = searches[name], {}
+        for cell, targets in search.cells().items():
+            if (name, cell) in wide:
+                wanted = min(sample_rows * len(targets), max(LEAST_SAMPLE, SAMPLE_BUDGET // len(wide)))
+                inside[cell] = wanted / search.inside(cell)
+        parts = F.array(*[F.lit(inside.get(cell, 0.0)) for cell in range(len(search.limits) + 1)])
+        cell = keys[name].cell(search.limits)
+        of = F.struct(F.lit(name).alias("name"), cell.alias("cell"))
+        chosen.append(F.when(F.rand() < F.element_at(parts, cell + 1), of))
+    columns = sorted({c for name, _ in wide for c in keys[name].columns})
+    taken = table.select(F.explode(F.array_compact(F.array(*chosen))).alias("_of"), *columns).collect()
+    samples: dict[tuple[str, int], list[tuple]] = {}
+    for row in taken:
+        name = row["_of"]["name"]
+        samples.setdefault((name, row["_of"]["cell"]), []).append(tuple(row[c] for c in keys[name].columns))
+    for (name, _), sample in samples.items():
+        sample.sort(key=_in_order)
         if len(sample) > 1 and sample[0] == sample[-1]:
-            raise ValueError(f"{keys[s.name].columns} does not tell all rows apart: add a unique tiebreak")
-        samples.append(sample)
-    return dict(zip(intervals, samples))
+            raise ValueError(f"{keys[name].columns} does not tell all rows apart: add a unique tiebreak")
+    return samples
 
 
-def _proposed_limits(sample: list[tuple], search: _Boundary) -> list[tuple]:
-    """Two sampled keys, in order, expected to enclose the searched row."""
-    if not sample:
-        return []
-    middle = (search.target - search.below) / search.inside * len(sample)
+def _proposed_limits(sample: list[tuple], target: int, search: _Search, cell: int) -> list[tuple]:
+    """Two sampled keys expected to enclose the searched row."""
+    middle = (target - search.below(cell)) / search.inside(cell) * len(sample)
     slack = SLACK * math.sqrt(len(sample)) + 1
-    ends = {max(0, int(middle - slack)), min(len(sample) - 1, int(middle + slack))}
-    return [sample[i] for i in sorted(ends)]
+    return [sample[max(0, int(middle - slack))], sample[min(len(sample) - 1, int(middle + slack))]]
 
 
 def _boundary_rows(
-    rows: DataFrame, keys: Mapping[str, _Key], searches: list[_Boundary]
-) -> dict[str, list[tuple[int, tuple]]]:
-    """The searched rows with their positions, each picked from an interval whose row count is known to be small."""
-    shared: dict[tuple, list[_Boundary]] = {}
-    for s in searches:
-        shared.setdefault(s.interval, []).append(s)
+    table: DataFrame, keys: Mapping[str, _Key], searches: Mapping[str, _Search], write: bool
+) -> dict[str, list[tuple]]:
+    """The searched rows of each ordering in order, picked from cells whose row count is known to be small."""
+    held = {name: search.cells() for name, search in searches.items() if search.targets}
+    found: dict[str, list[tuple]] = {name: [] for name in searches}
+    if not held:
+        return found
+    near = table
+    if write:
+        in_reach = [keys[name].cell(searches[name].limits).isin(*cells) for name, cells in held.items()]
+        near = staged(table.filter(reduce(Column.__or__, in_reach)), "ntile-boundaries")
     picks = []
-    for (name, low, high), inside in shared.items():
-        key, below = keys[name], inside[0].below
-        in_order = Window.orderBy(key.of_row())
-        position = F.row_number().over(in_order) + below
-        # All rows that tie with one of an interval are in it: if the next does not, as many rows lie up to this one as it says.
+    for name, cells in held.items():
+        key, search = keys[name], searches[name]
+        in_order = Window.partitionBy("_cell").orderBy(key.of_row())
+        before = F.element_at(F.array(*[F.lit(search.below(c)).cast("long") for c in range(len(search.limits) + 1)]), F.col("_cell") + 1)
+        # All rows that tie with one of a cell are in it: if the next does not, as many rows lie up to this one as it says.
         tied = F.coalesce(F.lead(key.of_row()).over(in_order) == key.of_row(), F.lit(False))
         picks.append(
-            rows.filter(key.between(low, high))
-            .select(F.lit(name).alias("name"), key.as_text().alias("boundary"), position.alias("position"), tied.alias("tied"))
-            .filter(F.col("position").isin(*[s.target for s in inside]))
+            near.withColumn("_cell", key.cell(search.limits))
+            .filter(F.col("_cell").isin(*cells))
+            .select(
+                F.lit(name).alias("name"),
+                key.as_text().alias("boundary"),
+                (F.row_number().over(in_order) + before).alias("position"),
+                tied.alias("tied"),
+            )
+            .filter(F.col("position").isin(*search.targets))
         )
-    found: dict[str, list[tuple[int, tuple]]] = {}
-    for row in reduce(DataFrame.unionAll, picks).collect():
+    for row in sorted(reduce(DataFrame.unionAll, picks).collect(), key=lambda r: r["position"]):
         if row["tied"]:
             raise ValueError(f"{keys[row['name']].columns} does not tell all rows apart: add a unique tiebreak")
-        found.setdefault(row["name"], []).append((row["position"], tuple(row["boundary"])))
+        found[row["name"]].append(tuple(row["boundary"]))
     return found
-

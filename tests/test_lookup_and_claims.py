@@ -172,3 +172,21 @@ def test_samples_of_many_intervals_share_a_budget(spark, monkeypatch):
     assert got.select("id", "a", "b").exceptAll(want).isEmpty()
     # Twice a budget, as samples stray; each of these 38 boundaries used to take 3,000 rows in later rounds.
     assert len(taken) > 1 and max(taken) < 2 * 3000
+
+
+def test_a_thousand_buckets_need_no_more_scans_or_samples(spark, monkeypatch):
+    rounds, real = [], quantiles._sorted_samples
+
+    def sampled(*args):
+        out = real(*args)
+        rounds.append(sum(map(len, out.values())))
+        return out
+
+    monkeypatch.setattr(quantiles, "_sorted_samples", sampled)
+    monkeypatch.setattr(quantiles, "SAMPLE_BUDGET", 10_000)
+    monkeypatch.setattr(quantiles, "LEAST_SAMPLE", 50)
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 > 0, F.xxhash64("id") % 1000).alias("v"), "id")
+    got = quantiles.ntile_columns(df, {"a": ["v", "id"]}, 1000, sample_rows=1000, finish_rows=500)
+    want = df.select("id", F.ntile(1000).over(Window.orderBy("v", "id")).alias("a"))
+    assert got.select("id", "a").exceptAll(want).isEmpty()
+    assert 1 <= len(rounds) <= 4 and max(rounds) < 1.2 * 10_000
