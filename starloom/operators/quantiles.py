@@ -7,6 +7,7 @@ boundaries of all orderings and narrows a cell some twentyfold, so ten billion r
 The number of boundaries changes neither the number of scans nor the rows that the driver sees.
 """
 
+import json
 import math
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
@@ -83,15 +84,23 @@ class _Key:
     def literal(self, value: tuple) -> Column:
         return F.struct(*[F.lit(v).cast(self.types[c]).alias(c) for c, v in zip(self.columns, value)])
 
+    def _array(self, values: Sequence[tuple]) -> Column:
+        """Many keys as one literal, which the planner folds once."""
+        texts = [{c: None if v is None else str(v) for c, v in zip(self.columns, value)} for value in values]
+        fields = [(c, t.simpleString()) for c, t in self.types.items()]
+        as_texts = ", ".join(f"`{c}`: string" for c, _ in fields)
+        typed = ", ".join(f"`{c}`: {t}" for c, t in fields)
+        return F.from_json(F.lit(json.dumps(texts)), f"array<struct<{as_texts}>>").cast(f"array<struct<{typed}>>")
+
     def as_text(self) -> Column:
         return F.array(*[F.col(c).cast("string") for c in self.columns])
 
     def cell(self, limits: Sequence[tuple]) -> Column:
         """How many of the ascending ``limits`` lie below the row."""
-        row, limits = self.of_row(), [self.literal(v) for v in limits]
+        row = self.of_row()
         if len(limits) <= FEW_LIMITS:
-            return reduce(lambda n, limit: n + (row > limit).cast("int"), limits, F.lit(0))
-        array, steps = F.array(*limits), [1 << i for i in range(len(limits).bit_length() - 1, -1, -1)]
+            return reduce(lambda n, limit: n + (row > self.literal(limit)).cast("int"), limits, F.lit(0))
+        array, steps = self._array(limits), [1 << i for i in range(len(limits).bit_length() - 1, -1, -1)]
         return F.aggregate(
             F.array(*[F.lit(step) for step in steps]),
             F.lit(0),
