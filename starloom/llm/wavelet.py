@@ -3,6 +3,7 @@
 import functools
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import arrow_schema, running_before
+from starloom.llm.common import arrow_schema, batches_of, running_before, to_batch
 from starloom.llm.tokens import encoder, vocabulary_size
 from starloom.scratch import staged
 
@@ -259,3 +260,49 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     return documents.join(starts, same_file).select(
         F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: Sequence[int]) -> DataFrame:
+    """How often each of ``tokens`` occurs in all files at ``path``: ``token`` and ``n``, zero if it does not.
+
+    A file answers from two ranks per plane, so few of its blocks are decompressed and no text is decoded. Each token
+    is returned once; without files or tokens the result is empty or zero alike.
+    """
+    wanted = sorted(set(tokens))
+    schema = "token bigint, n bigint"
+    out_schema = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                reader = WaveletFile(content.as_py())
+                yield to_batch([(token, reader.count(token)) for token in wanted], out_schema)
+
+    asked = spark.createDataFrame([(token, 0) for token in wanted], schema)
+    counted = spark.read.parquet(path).select("content").mapInArrow(run, schema)
+    return asked.unionByName(counted).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_token(spark: SparkSession, path: str, token: int, id_col: str = "doc_id") -> DataFrame:
+    """Every occurrence of ``token`` in the files at ``path``: the document's id and ``offset``, its place among the ids there.
+
+    A file decompresses only the blocks on the ways to the occurrences. Rows are in no order; none if the token does not occur.
+    """
+    files = spark.read.parquet(path).select("ids", "content")
+    schema = f"id {files.schema['ids'].dataType.elementType.simpleString()}, offset bigint"
+    out_schema = arrow_schema(schema)
+
+    def places(batches):
+        for batch in batches:
+            for ids, content in zip(batch.column("ids"), batch.column("content"), strict=True):
+                reader, ids = WaveletFile(content.as_py()), ids.as_py()
+                ends = np.cumsum(reader.lengths, dtype=np.int64)
+                for rank in range(reader.count(token)):
+                    place = reader.occurrence(token, rank)
+                    own = int(np.searchsorted(ends, place, "right"))
+                    yield ids[own], place - int(ends[own]) + int(reader.lengths[own])
+
+    def run(batches):
+        yield from batches_of(places(batches), out_schema, 4096)
+
+    return files.mapInArrow(run, schema).withColumnRenamed("id", id_col)

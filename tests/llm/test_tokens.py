@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from starloom.llm import tokens
 from starloom.llm.harmonic import cuts, harmonic_packing, last_ends
 from starloom.llm.token_counts import token_counts
-from starloom.llm.wavelet import WaveletFile, pack, read_files, write_files
+from starloom.llm.wavelet import WaveletFile, count_tokens, find_token, pack, read_files, write_files
 from starloom.scratch import scratch_path
 from tests.llm.conftest import ODD_ROWS
 
@@ -70,6 +71,8 @@ def test_no_rows(nothing, spark):
     path = scratch_path(spark, "no-files")
     write_files(nothing, path, VOCABULARIES[0], 2)
     assert read_files(spark, path).collect() == []
+    assert [tuple(r) for r in count_tokens(spark, path, [2]).collect()] == [(2, 0)]
+    assert find_token(spark, path, 2).collect() == []
 
 
 @settings(max_examples=40, deadline=None)
@@ -112,6 +115,22 @@ def test_files_round_trip(spark, documents, texts, shard_tokens):
         at += len(ids)
 
 
+def test_lookups_over_all_files(spark, documents, texts):
+    path = scratch_path(spark, "looked-up")
+    write_files(documents, path, VOCABULARIES[0], 2, shard_tokens=20_000)
+    assert spark.read.parquet(path).count() > 3
+    ids = {d: [*ids_of(VOCABULARIES[0], t), 2] for d, t in texts.items()}
+    by_count = Counter(token for own in ids.values() for token in own)
+    asked = [2, *[t for t, _ in by_count.most_common(5)], *[t for t, n in by_count.items() if n == 1][:3], 60_000, 1 << 20]
+    got = {r.token: r.n for r in count_tokens(spark, path, asked).collect()}
+    assert got == {token: by_count[token] for token in asked}
+    assert count_tokens(spark, path, []).collect() == []
+    middling = next(t for t, n in by_count.items() if 20 < n < 60)
+    for token in (2, middling, 1 << 20):
+        want = sorted((d, i) for d, own in ids.items() for i, x in enumerate(own) if x == token)
+        assert sorted(tuple(r) for r in find_token(spark, path, token).collect()) == want
+
+
 def test_files_of_odd_rows(spark, odd):
     path = scratch_path(spark, "files")
     write_files(odd, path, VOCABULARIES[0], 2)
