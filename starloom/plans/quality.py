@@ -1,11 +1,13 @@
 """Read-only checks over raw tables and star.
 
 An assertion is a row ``(check, metric, value, expected, ok)``; all assertions of a report are one
-Spark job. Two further reports list rows and expect nothing. No check joins a fact row by row: foreign
-keys are counted per value first, so that a value holding most of a table is one row at the join.
+Spark job. Two further reports list rows and expect nothing. Whatever is a count or a sum over one table is a tally,
+and all tallies of a table are taken in one scan of it, however many checks compare them. No check joins a fact row by
+row: foreign keys are counted per value first, so that a value holding most of a table is one row at the join.
 """
 
-from collections.abc import Mapping, Sequence
+from collections import ChainMap
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,18 +21,88 @@ Tables = Mapping[str, DataFrame]
 AMOUNT = "decimal(38,2)"
 
 
-def _assertion(counted: DataFrame, check: str, metric: str, value: Column, expected: Column) -> DataFrame:
-    return counted.select(
+# Check, metric, the tally (``<table>.<name>``) and the tally it must equal; without one it must be zero.
+TALLIED = [
+    ("orphans", "orders_no_customer", "fact_orders.nobody", None),
+    ("orphans", "items_no_customer", "fact_order_items.nobody", None),
+    ("orphans", "reviews_no_customer", "fact_reviews.nobody", None),
+    ("review_pairs", "distinct_pairs", "order_reviews.pairs", "order_reviews.rows"),
+    ("midnight", "estimates_with_time_of_day", "orders.timed", None),
+    ("zip_prefix", "bad_zip_prefixes", "dim_customers.bad_zips", None),
+    ("row_counts", "orders", "fact_orders.rows", "orders.rows"),
+    ("row_counts", "people", "dim_customers.rows", "customers.people"),
+    ("row_counts", "items", "fact_order_items.rows", "order_items.rows"),
+    ("row_counts", "reviews", "fact_reviews.rows", "order_reviews.rows"),
+]
+# Metric, the raw amount and the one built from it: their difference must be zero.
+RECONCILED = [
+    ("payment_diff", "order_payments.paid", "fact_orders.paid"),
+    ("item_diff", "order_items.sold", "fact_order_items.sold"),
+]
+
+
+def _tallies(table: str) -> dict[str, Column]:
+    """Everything that one scan of ``table`` can count."""
+    rows = F.count(F.lit(1))
+    nobody = F.count_if(F.col("customer_unique_id").isNull())
+    return {
+        "orders": {"rows": rows, "timed": F.count_if(has_time_of_day(F.col("order_estimated_delivery_date")))},
+        "customers": {"people": F.countDistinct("customer_unique_id")},
+        "order_items": {"rows": rows, "sold": F.sum(F.col("price") + F.col("freight_value"))},
+        "order_payments": {"paid": F.sum("payment_value")},
+        # Pairs are compared as a struct, so a pair with a NULL in it is a pair as well.
+        "order_reviews": {"rows": rows, "pairs": F.countDistinct(F.struct("review_id", "order_id"))},
+        "dim_customers": {
+            "rows": rows,
+            "bad_zips": F.count_if(F.length("customer_zip_code_prefix") != fixed.ZIP_PREFIX_LENGTH),
+        },
+        "fact_orders": {"rows": rows, "nobody": nobody, "paid": F.sum("payment_total")},
+        "fact_order_items": {"rows": rows, "nobody": nobody, "sold": F.sum("item_total_value")},
+        "fact_reviews": {"rows": rows, "nobody": nobody},
+    }[table]
+
+
+def _tallied(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """One row with the map ``tally`` from the ``names`` to their values: a scan per table they are taken from."""
+    by_table: dict[str, list[str]] = {}
+    for table, name in sorted({tuple(name.split(".")) for name in names}):
+        by_table.setdefault(table, []).append(name)
+    counted = []
+    for table, own in by_table.items():
+        columns = _tallies(table)
+        entries = [F.struct(F.lit(f"{table}.{n}").alias("name"), F.col(n).alias("value")) for n in own]
+        one_row = tables[table].agg(*[columns[n].cast(AMOUNT).alias(n) for n in own])
+        counted.append(one_row.select(F.inline(F.array(*entries))))
+    return _all(counted).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("tally"))
+
+
+def _asserted(check: str, metric: str, value: Column, expected: Column) -> Column:
+    """An assertion as a struct."""
+    value, expected = value.cast(AMOUNT), expected.cast(AMOUNT)
+    return F.struct(
         F.lit(check).alias("check"),
         F.lit(metric).alias("metric"),
-        value.cast(AMOUNT).alias("value"),
-        expected.cast(AMOUNT).alias("expected"),
-        value.cast(AMOUNT).eqNullSafe(expected.cast(AMOUNT)).alias("ok"),
+        value.alias("value"),
+        expected.alias("expected"),
+        value.eqNullSafe(expected).alias("ok"),
     )
 
 
-def _none_expected(df: DataFrame, check: str, metric: str, bad: Column) -> DataFrame:
-    return _assertion(df.agg(F.count_if(bad).alias("n")), check, metric, F.col("n"), F.lit(0))
+def _compared(tables: Tables, *checks: str) -> DataFrame:
+    """The assertions of ``checks`` that compare tallies."""
+    chosen = [row for row in TALLIED if row[0] in checks]
+    summed = RECONCILED if "reconcile" in checks else []
+    names = {name for row in chosen for name in row[2:] if name} | {name for row in summed for name in row[1:]}
+
+    def tally(name: str | None) -> Column:
+        return F.col("tally")[name] if name else F.lit(0)
+
+    def amount(name: str) -> Column:
+        return F.coalesce(tally(name), F.lit(0))
+
+    rows = [_asserted(check, metric, tally(value), tally(expected)) for check, metric, value, expected in chosen]
+    rows += [_asserted("reconcile", metric, amount(raw) - amount(built), F.lit(0)) for metric, raw, built in summed]
+    return _tallied(tables, names).select(F.inline(F.array(*rows)))
 
 
 def _all(reports: Sequence[DataFrame]) -> DataFrame:
@@ -45,24 +117,25 @@ def unmatched(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def _no_orphans(metric: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return _assertion(unmatched(child, parent, key), "orphans", metric, F.col("n"), F.lit(0))
+    counted = unmatched(child, parent, key)
+    return counted.select(F.inline(F.array(_asserted("orphans", metric, F.col("n"), F.lit(0)))))
 
 
-def orphans(star: Tables) -> DataFrame:
-    nobody = F.col("customer_unique_id").isNull()
+def _unmatched_keys(star: Tables) -> DataFrame:
     items, reviews = star["fact_order_items"], star["fact_reviews"]
     return _all(
         [
-            _none_expected(star["fact_orders"], "orphans", "orders_no_customer", nobody),
             _no_orphans("items_no_product", items, star["dim_products"], "product_id"),
             _no_orphans("items_no_seller", items, star["dim_sellers"], "seller_id"),
             _no_orphans("reviews_no_order", reviews, star["fact_orders"], "order_id"),
-            _none_expected(items, "orphans", "items_no_customer", nobody),
-            _none_expected(reviews, "orphans", "reviews_no_customer", nobody),
         ]
     )
 
 
+def orphans(star: Tables) -> DataFrame:
+    return _unmatched_keys(star).unionByName(_compared(star, "orphans"))
+
+
 def raw_orphans(raw: Tables) -> DataFrame:
     """Children the build drops or cannot attribute; looking only at the facts would never show them."""
     orders = raw["orders"]
@@ -77,64 +150,24 @@ def raw_orphans(raw: Tables) -> DataFrame:
 
 
 def review_pairs_unique(reviews: DataFrame) -> DataFrame:
-    """Pairs are compared as a struct, so a pair with a NULL in it is a pair as well."""
-    counted = reviews.agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct(F.struct("review_id", "order_id")).alias("pairs")
-    )
-    return _assertion(counted, "review_pairs", "distinct_pairs", F.col("pairs"), F.col("rows"))
+    return _compared({"order_reviews": reviews}, "review_pairs")
 
 
 def estimates_at_midnight(orders: DataFrame) -> DataFrame:
-    timed = has_time_of_day(F.col("order_estimated_delivery_date"))
-    return _none_expected(orders, "midnight", "estimates_with_time_of_day", timed)
+    return _compared({"orders": orders}, "midnight")
 
 
 def zip_prefixes(dim_customers: DataFrame) -> DataFrame:
-    wrong = F.length("customer_zip_code_prefix") != fixed.ZIP_PREFIX_LENGTH
-    return _none_expected(dim_customers, "zip_prefix", "bad_zip_prefixes", wrong)
-
-
-def _side_by_side(raw: DataFrame, built: DataFrame) -> DataFrame:
-    """One row ``(raw, built)`` from two one-row frames with a column ``v``, without joining them."""
-    sides = raw.select(F.lit(True).alias("is_raw"), "v").unionByName(
-        built.select(F.lit(False).alias("is_raw"), "v")
-    )
-    return sides.agg(
-        F.max(F.when(F.col("is_raw"), F.col("v"))).alias("raw"),
-        F.max(F.when(~F.col("is_raw"), F.col("v"))).alias("built"),
-    )
+    return _compared({"dim_customers": dim_customers}, "zip_prefix")
 
 
 def reconciliation(raw: Tables, star: Tables) -> DataFrame:
     """Both revenue bases of the facts add up to the raw amounts, to the cent."""
-    paid = raw["order_payments"].agg(F.sum("payment_value").alias("v"))
-    paid_facts = star["fact_orders"].agg(F.sum("payment_total").alias("v"))
-    sold = raw["order_items"].agg(F.sum(F.col("price") + F.col("freight_value")).alias("v"))
-    sold_facts = star["fact_order_items"].agg(F.sum("item_total_value").alias("v"))
-    missing = F.coalesce("raw", F.lit(0)) - F.coalesce("built", F.lit(0))
-    return _all(
-        [
-            _assertion(_side_by_side(paid, paid_facts), "reconcile", "payment_diff", missing, F.lit(0)),
-            _assertion(_side_by_side(sold, sold_facts), "reconcile", "item_diff", missing, F.lit(0)),
-        ]
-    )
+    return _compared(ChainMap(star, raw), "reconcile")
 
 
 def row_counts(raw: Tables, star: Tables) -> DataFrame:
-    rows = F.count(F.lit(1)).alias("v")
-    people = F.countDistinct("customer_unique_id").alias("v")
-    pairs = [
-        ("orders", raw["orders"].agg(rows), star["fact_orders"]),
-        ("people", raw["customers"].agg(people), star["dim_customers"]),
-        ("items", raw["order_items"].agg(rows), star["fact_order_items"]),
-        ("reviews", raw["order_reviews"].agg(rows), star["fact_reviews"]),
-    ]
-    return _all(
-        [
-            _assertion(_side_by_side(counted, built.agg(rows)), "row_counts", name, F.col("built"), F.col("raw"))
-            for name, counted, built in pairs
-        ]
-    )
+    return _compared(ChainMap(star, raw), "row_counts")
 
 
 def primary_keys(star: Tables) -> DataFrame:
@@ -201,18 +234,10 @@ def cost_of_one_address(customers: DataFrame, label: str = "customer_state") ->
 
 
 def informative_checks(raw: Tables, star: Tables) -> DataFrame:
-    """Every assertion but the keys."""
-    return _all(
-        [
-            orphans(star),
-            raw_orphans(raw),
-            review_pairs_unique(raw["order_reviews"]),
-            estimates_at_midnight(raw["orders"]),
-            zip_prefixes(star["dim_customers"]),
-            reconciliation(raw, star),
-            row_counts(raw, star),
-        ]
-    )
+    """Every assertion but the keys. All tallies of a table come from one scan, those of several checks too."""
+    checks = dict.fromkeys(check for check, *_ in TALLIED)
+    compared = _compared(ChainMap(star, raw), *checks, "reconcile")
+    return _all([_unmatched_keys(star), raw_orphans(raw), compared])
 
 
 def quality_report(raw: Tables, star: Tables) -> DataFrame:

@@ -257,6 +257,32 @@ def test_empty_status_is_refused_rather_than_lost(spark, raw):
         publish(spark, raw(orders=[order("o9", "c1", "")]), scratch_path(spark, "star"))
 
 
+def test_checks_scan_each_table_once_for_all_tallies(spark, raw, published):
+    tables, star = raw(), read_star(spark, published)
+    separate = [
+        quality.orphans(star),
+        quality.raw_orphans(tables),
+        quality.review_pairs_unique(tables["order_reviews"]),
+        quality.estimates_at_midnight(tables["orders"]),
+        quality.zip_prefixes(star["dim_customers"]),
+        quality.reconciliation(tables, star),
+        quality.row_counts(tables, star),
+    ]
+    together = quality.informative_checks(tables, star)
+    assert rows(together) == sorted(row for report in separate for row in rows(report))
+
+    def scans(*reports):
+        """Scans of each fact table, told by a column that only it has."""
+        plans = "\n".join(r._jdf.queryExecution().optimizedPlan().toString() for r in reports)
+        leaves = [line for line in plans.splitlines() if "Relation [" in line]
+        told_by = {"fact_orders": "payment_total#", "fact_order_items": "item_total_value#", "fact_reviews": "review_sk#"}
+        return {table: sum(column in line for line in leaves) for table, column in told_by.items()}
+
+    # Orders are the parents of reviews too; items are counted by product and by seller, reviews by order.
+    assert scans(together) == {"fact_orders": 2, "fact_order_items": 3, "fact_reviews": 2}
+    assert scans(*separate) == {"fact_orders": 4, "fact_order_items": 5, "fact_reviews": 3}
+
+
 def test_status_folders_prune(spark, published):
     plan = analyses.orders_with_status(read_star(spark, published)["fact_orders"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(order_status" in plan
