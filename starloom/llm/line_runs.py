@@ -30,7 +30,8 @@ class LineRuns:
     """Runs of line hashes at ``path``, and what they say of each hash: ``n`` documents, ``keeper`` in the batch seen first.
 
     ``runs`` are (level, name, path, buckets), the oldest first. Every change of them is a version of the manifest at
-    ``path``, added after the run it names is complete, so that a job that fails leaves the version before.
+    ``path``, added after the run it names is complete, so that a job that fails leaves the version before. As a context
+    it takes the names that its runs have in the catalog away at the end; their files stay.
     """
 
     def __init__(self, spark: SparkSession, path: str, fan_out: int = FAN_OUT):
@@ -66,9 +67,19 @@ class LineRuns:
         rows = [(self.version, nth, level, path, buckets, columns) for nth, (level, _, path, buckets) in enumerate(runs)]
         manifest = self.spark.createDataFrame(rows, "version int, nth int, level int, path string, buckets int, ddl string")
         manifest.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        for name in replaced:  # the name in the session only; the files stay for readers of earlier versions
+        self._forget(replaced)
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:  # the name in the catalog only; the files stay for readers of earlier versions
             self.spark.sql(f"DROP TABLE {name}")
 
+    def __enter__(self) -> "LineRuns":
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self._forget([name for _, name, _, _ in self.runs])
+        self.runs = []
+
     def add(self, entries: DataFrame) -> None:
         """Merge a batch, a row per hash: ``h1``, ``h2``, ``n`` (its documents) and ``keeper`` (the one to keep it)."""
         merged = entries.withColumn("first", F.lit(True))
@@ -156,11 +167,11 @@ def dedup_lines(
         keys = line_keys(docs, least_points, id_col, text_col).withColumn("batch", batch)
         keys.write.partitionBy("batch").parquet(lines_path)
     lines = spark.read.schema(keys.schema).parquet(lines_path)
-    runs = LineRuns(spark, path, fan_out)
-    for n in range(len(bounds) + 1):
-        per_doc = lines.filter(F.col("batch") == n).select(*KEY, "id").distinct()
-        runs.add(per_doc.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")))
-    repeated = staged(runs.summary().filter(F.col("n") >= least_docs).drop("n"), "line-repeats")
+    with LineRuns(spark, path, fan_out) as runs:
+        for n in range(len(bounds) + 1):
+            per_doc = lines.filter(F.col("batch") == n).select(*KEY, "id").distinct()
+            runs.add(per_doc.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")))
+        repeated = staged(runs.summary().filter(F.col("n") >= least_docs).drop("n"), "line-repeats")
     lost = lines.join(repeated, KEY).filter(~F.col("id").eqNullSafe(F.col("keeper")))
     # A set, bounded by the lines of one text however often the row is repeated.
     lost = lost.groupBy("id", "tie").agg(F.collect_set("pos").alias("lost"))

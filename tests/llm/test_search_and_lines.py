@@ -251,6 +251,19 @@ def test_a_line_in_a_third_of_all_documents(spark):
     assert got == plain_lines(rows) and sum(n for _, _, n, _ in got) == 999
 
 
+def test_no_names_of_runs_stay_in_the_catalog(spark, documents):
+    def names():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")}
+
+    before, path = names(), scratch_path(spark, "runs")
+    dedup_lines(documents, path, batches=5, fan_out=3).collect()
+    assert names() == before
+    with pytest.raises(ZeroDivisionError), LineRuns(spark, path) as runs:
+        assert len(runs.runs) == 3 and runs.summary().count() and len(names()) == len(before) + 3
+        raise ZeroDivisionError
+    assert names() == before
+
+
 def test_runs_are_levelled_and_can_be_reopened(spark):
     path = scratch_path(spark, "runs")
     runs, want = LineRuns(spark, path, fan_out=3), {}
