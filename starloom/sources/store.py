@@ -10,6 +10,7 @@ that a reader of a few values opens their files by name and lists no folder.
 """
 
 import json
+import os
 import uuid
 from collections.abc import Sequence
 from urllib.parse import unquote
@@ -60,19 +61,42 @@ def announce(spark: SparkSession, root: str, run: str) -> int:
 
 
 def _claimed(spark: SparkSession, path: str, record: dict) -> bool:
-    """Create ``path`` with ``record``; False if somebody has created it before."""
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """Create ``path`` with ``record``; False if somebody has created it before.
+
+    The store must refuse to create a file that is there in the same step that looks for it, as HDFS does. Hadoop's
+    class for local files looks first and creates then, so there the record is written aside and linked to its name.
+    """
+    file, line = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), f"{json.dumps(record)}\n"
+    files = _files(spark, file)
+    if files.getUri().getScheme() == "file":
+        return _linked(files.makeQualified(file).toUri().getPath(), line)
     try:
-        out = _files(spark, file).create(file, False)
+        out = files.create(file, False)
     except Py4JJavaError as problem:
         if "FileAlreadyExists" not in problem.java_exception.getClass().getName():
             raise
         return False
-    out.write(f"{json.dumps(record)}\n".encode())
+    out.write(line.encode())
     out.close()
     return True
 
 
+def _linked(path: str, line: str) -> bool:
+    """Create the local file ``path`` whole, or not at all if it is there: the system refuses a second link of one name."""
+    folder = os.path.dirname(path)
+    os.makedirs(folder, exist_ok=True)
+    aside = f"{folder}/.{uuid.uuid4().hex}"  # readers pass over names that begin with a dot
+    with open(aside, "w", encoding="utf-8") as out:
+        out.write(line)
+    try:
+        os.link(aside, path)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(aside)
+    return True
+
+
 def _files(spark: SparkSession, path):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 

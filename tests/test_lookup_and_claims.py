@@ -78,6 +78,23 @@ def test_a_claimed_version_is_not_written_over(spark, tmp_path):
     assert rows(store.announced(spark, str(tmp_path))) == [(1, "theirs"), (2, "ours")]
 
 
+def test_of_many_claims_of_one_version_one_wins(spark, tmp_path):
+    for n in range(20):
+        path, won, start = f"{tmp_path}/announced/version-{n:012d}.json", [], threading.Barrier(8)
+
+        def claim(own, path=path, won=won, start=start):
+            start.wait()
+            if store._claimed(spark, path, {"version": n, "run": f"run{own}"}):
+                won.append(f"run{own}")
+
+        writers = [threading.Thread(target=claim, args=(own,)) for own in range(8)]
+        for w in writers:
+            w.start()
+        for w in writers:
+            w.join()
+        assert [r["run"] for r in spark.read.schema(store.ANNOUNCEMENT).json(path).collect()] == won and len(won) == 1
+
+
 def test_an_endless_record_stops_with_its_line(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(csv_files, "MAX_RECORD", 4000)
     schema = spark.createDataFrame([], "a string, b string").schema
