@@ -10,8 +10,8 @@ from pyspark.sql.types import StructType
 from starloom.plans.publish import load_raw, read_raw
 from starloom.scratch import scratch_path
 from starloom.sources.conform import RawTables
-from starloom.sources.csv_files import read_csv
-from starloom.sources.schemas import RAW_DDL
+from starloom.sources.csv_files import read_csv, read_raw_csv
+from starloom.sources.schemas import RAW_DDL, raw_schema
 from starloom.verification.queries import _as_csv
 from tests.conftest import SMALL, rows
 
@@ -115,3 +115,10 @@ def test_reload_replaces_and_failure_keeps_the_last_load(spark, tmp_path):
     with pytest.raises(Exception):
         load_raw(spark, {**paths, "product_category_translation": str(tmp_path / "bad.csv")}, root)
     assert rows(read_raw(spark, root)["sellers"]) == rows(raw["sellers"])
+
+
+def test_zero_and_tiny_decimals_survive_the_csv_files(spark):
+    data = [("1", Decimal(0), Decimal("0.0000001"), "a", "b"), ("2", Decimal("-1e-18"), None, "", None)]
+    data.append(("3", Decimal("12345678901234567890.123456789012345678"), Decimal("-9.5"), None, "c"))
+    places = spark.createDataFrame(data, raw_schema("geolocation"))
+    assert rows(read_raw_csv(spark, "geolocation", _as_csv(places, "places"))) == rows(places)
