@@ -89,6 +89,8 @@ def tile_links(left, codes, factors, right, threshold: float) -> Iterator[tuple[
     nodes = np.concatenate([uids, other_uids]) if right else uids
     group = np.arange(len(nodes))
     for i, j in linked(vectors, codes, factors, others if right else None, threshold):
+        if not len(i):  # candidates, but no link among them
+            continue
         np.add.at(counts, i, other_copies[j])
         np.add.at(other_counts if right else counts, j, copies[i])
         starts = np.flatnonzero(np.diff(i, prepend=-1))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from starloom.llm import rotation_codes, simhash
 from starloom.llm.common import read_table
 from starloom.llm.components import components
-from starloom.llm.rotation_codes import embedding_groups, encode, estimate, least_products, linked
+from starloom.llm.rotation_codes import embedding_groups, encode, estimate, least_products, linked, tile_links
 from starloom.llm.simhash import near_links, simhash_groups
 from tests.conftest import SMALL
 from tests.llm.conftest import ODD_ROWS
@@ -167,3 +167,17 @@ def test_embedding_groups(monkeypatch, spark, tile):
     want += [(i, 0, i, i is not None) for i, _, _ in bad]
     assert got == sorted(want, key=repr)
     assert embedding_groups(frame.limit(0), 0.93).collect() == [] if "lab" not in frame.columns else True
+
+
+def test_tiles_whose_candidates_are_all_below_the_threshold():
+    random = np.random.default_rng(5)
+    a, aside = random.standard_normal((20, 64)), random.standard_normal(64)
+    along = a[0] / np.linalg.norm(a[0])
+    aside -= aside @ along * along
+    near = 0.91 * along + np.sqrt(1 - 0.91**2) * aside / np.linalg.norm(aside)
+    ids, once = np.arange(20), np.ones(20, np.int64)
+    codes, factors = encode(a)
+    assert [len(i) for i, _ in linked(a, codes, factors, near[None], 0.93)] == [0]  # a candidate, and no link
+    assert list(tile_links((ids, once, a), codes, factors, (ids[:1] + 100, once[:1], near[None]), 0.93)) == []
+    both = np.stack([a[0], near])
+    assert list(tile_links((ids[:2], once[:2], both), *encode(both), None, 0.93)) == []
