@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from starloom.plans import analyses, star_build
 from starloom.sources.schemas import raw_schema, shaped, star_schema
+from starloom.verification.queries import Tables
+from tests.conftest import SMALL
 
 ROWS = 60_000
 
@@ -128,3 +130,15 @@ def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
         return len(list((tmp_path / "t" / f"order_status={status}").glob("*.parquet")))
 
     assert files("delivered") > 1 and files("canceled") == 1
+
+
+def test_numbered_lines_are_not_shuffled_again_for_the_join_with_orders(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = Tables(spark, SMALL).fact_order_items._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    to_join = plan.split("Window [")[0].rsplit("SortMergeJoin", 1)[1]
+    assert "Exchange" not in to_join
