@@ -142,6 +142,23 @@ def test_review_keys_are_unique_and_stable(raw):
     assert rows(again) == rows(facts)
 
 
+@pytest.mark.parametrize("hot_rows", [1, 5, 1000])
+@pytest.mark.parametrize("others", [0, 60])
+def test_copies_of_reviews_are_numbered_alike_however_many_repeat(raw, hot_rows, others):
+    several = [review("r1", "o1")] * 19 + [review("r1", "o1", 2, "other")] * 3 + [review(None, "o1")] * 2
+    tables = raw(order_reviews=several + [review(f"s{i}", "o2") for i in range(others)])
+    resolved = star_build.resolve_orders(tables["orders"], tables["customers"])
+    got = star_build.fact_reviews(tables["order_reviews"], resolved, hot_rows)
+    assert rows(got) == rows(star_build.fact_reviews(tables["order_reviews"].repartition(5), resolved))
+    copies = star_build.one_by_one(star_build.review_copies(tables["order_reviews"], hot_rows), "copy").collect()
+    at = sorted((r["review_id"] or "", r["order_id"], r["copy"]) for r in copies)
+    want = [("r1", "o1", i + 1) for i in range(23)] + [("", "o1", 1), ("", "o1", 2), ("r1", "o2", 1), ("r2", "o4", 1)]
+    assert at == sorted(want + [(f"s{i}", "o2", 1) for i in range(others)])
+    # Copies of one text have positions in a row.
+    others_at = sorted(r["copy"] for r in copies if r["review_comment_message"] == "other")
+    assert others_at == list(range(others_at[0], others_at[0] + 3))
+
+
 def test_pair_check_counts_pairs_with_null(raw):
     tables = raw(order_reviews=[review(None, "o1"), review(None, "o1"), review("r7", None)])
     (check,) = quality.review_pairs_unique(tables["order_reviews"]).collect()

@@ -118,6 +118,14 @@ def test_hot_order_shrinks_before_the_revenue_join(spark, shuffled_joins):
     assert shuffled_rows(analyses.monthly_revenue(items, orders))[0] <= 20
 
 
+def test_copies_of_reviews_cross_the_network_as_runs(spark, shuffled_joins):
+    reviews = filled(spark, raw_schema("order_reviews"), 3000, review_id=F.col("id"), order_id=F.col("id"), review_score=F.lit(5))
+    orders = filled(spark, star_schema("fact_orders"), 3000, order_id=F.col("id"))
+    thrice = reviews.unionByName(reviews).unionByName(reviews)
+    facts = star_build.fact_reviews(thrice, orders, hot_rows=2)
+    assert shuffled_rows(facts)[0] <= 3000 and facts.count() == 9000
+
+
 def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
     from starloom.sources.store import write_table
 
