@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 from decimal import Decimal
 
 import pytest
@@ -174,6 +175,26 @@ def test_midnight_and_zip_checks(raw):
     assert quality.zip_prefixes(star_build.dim_customers(tables["customers"])).head()["value"] == 1
 
 
+def test_tables_that_need_nothing_of_each_other_are_written_side_by_side(spark, raw, monkeypatch):
+    both, write = threading.Barrier(2), store.write_table
+
+    def met(df, path, *rest):
+        if path.endswith(("fact_order_items", "fact_reviews")):
+            both.wait(120)
+        write(df, path, *rest)
+
+    monkeypatch.setattr(store, "write_table", met)
+    assert publish(spark, raw(), scratch_path(spark, "star")) == 1
+
+
+def test_a_table_that_cannot_be_written_stops_the_publish(spark, raw):
+    root, tables = scratch_path(spark, "star"), raw()
+    bad = tables["sellers"].withColumn("seller_city", F.raise_error(F.lit("no such city")).cast("string"))
+    with pytest.raises(Exception, match="no such city"):
+        publish(spark, {**tables, "sellers": bad}, root)
+    assert store.announced(spark, root).isEmpty()
+
+
 def test_reports(raw):
     tables = raw(orders=[order("o9", "c1", bought=T(2018, 9, 1)), order("o8", "c1", bought=None)])
     star = star_build.build_star(tables)
