@@ -4,7 +4,8 @@ import datetime as dt
 
 import pytest
 
-from starloom.verification.queries import QUERIES
+from starloom.sources.conform import raw_table
+from starloom.verification.queries import QUERIES, plain
 from tests.conftest import rows
 
 DAY = dt.datetime(1996, 5, 4)
@@ -50,3 +51,16 @@ def test_zero_coordinates_survive_in_any_session(spark, folder, ansi):
     assert [row[1:4] for row in got] == [
         (0.0, 0.0, "zero"), (0.0, 0.0, "minus zero"), (0.0, 0.0, "rounds to zero"), (-0.01, 0.01, "cent"), (None, None, None),
     ]
+
+
+# The places are one of the nine inputs of a load, so a zero among them stopped the reload of every table.
+RELOADED = [
+    "customers",
+]
+
+
+@pytest.mark.parametrize("table", RELOADED)
+def test_a_reload_with_zero_coordinates_keeps_every_row(spark, folder, table):
+    want = rows(plain(raw_table(spark, folder, table)))
+    assert want
+    assert rows(QUERIES[f"reloaded_{table}"](spark, folder)) == want
