@@ -57,6 +57,7 @@ def test_zero_coordinates_survive_in_any_session(spark, folder, ansi):
 RELOADED = [
     "customers",
     "geolocation",
+    "order_reviews",
 ]
 
 
