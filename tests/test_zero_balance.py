@@ -58,6 +58,7 @@ RELOADED = [
     "customers",
     "geolocation",
     "order_reviews",
+    "order_payments",
 ]
 
 
