@@ -59,6 +59,7 @@ RELOADED = [
     "geolocation",
     "order_reviews",
     "order_payments",
+    "order_items",
 ]
 
 
