@@ -60,6 +60,7 @@ RELOADED = [
     "order_reviews",
     "order_payments",
     "order_items",
+    "orders",
 ]
 
 
