@@ -61,6 +61,7 @@ RELOADED = [
     "order_payments",
     "order_items",
     "orders",
+    "sellers",
 ]
 
 
