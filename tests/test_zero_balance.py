@@ -62,6 +62,7 @@ RELOADED = [
     "order_items",
     "orders",
     "sellers",
+    "product_category_translation",
 ]
 
 
