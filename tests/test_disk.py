@@ -3,15 +3,17 @@
 import datetime as dt
 import glob
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starloom.plans.publish import load_raw, read_raw
 from starloom.scratch import SHUFFLE_CLEANUP, scratch_path, scratch_root, staged, tidied
 from starloom.sources.conform import RawTables, raw_table
-from starloom.sources.csv_files import read_raw_csv
+from starloom.sources.csv_files import read_csv, read_raw_csv
 from starloom.sources.schemas import RAW_DDL, raw_schema
 from starloom.verification.queries import QUERIES, _as_csv, plain
 from tests.conftest import rows
@@ -117,3 +119,25 @@ def test_tidied_drops_shuffle_files_after_each_job(spark, tmp_path):
         while (left := shuffle_files(spark) - before) and time.monotonic() < waited:
             time.sleep(0.1)
         assert not left
+
+
+def test_lines_of_a_record_move_once(spark, tmp_path):
+    rnd = random.Random(5)
+    data = [(str(i), "\n".join(rnd.randbytes(150).hex() for _ in range(rnd.choice([1, 2, 3, 5])))) for i in range(1500)]
+    text = "k,v\n" + "".join(f'{key},"{value}"\n' for key, value in data)
+    (tmp_path / "long.csv").write_text(text)
+    settings = {"spark.sql.files.maxPartitionBytes": "100000", "spark.sql.files.openCostInBytes": "1"}
+    kept = {name: spark.conf.get(name) for name in settings}
+    before = shuffle_files(spark)
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        read = read_csv(spark, StructType.fromDDL("k string, v string"), str(tmp_path / "long.csv"))
+        read.write.parquet(f"{tmp_path}/read")
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    moved = sum(os.path.getsize(f) for f in shuffle_files(spark) - before)
+    assert rows(spark.read.parquet(f"{tmp_path}/read")) == sorted(data, key=repr)
+    # Random digits do not shrink in a shuffle: moved once they take what the text does, moved again twice that.
+    assert moved < 1.5 * len(text), (moved, len(text))
